@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, quality_rules, simhash
+from . import decontam, line_dedup, packing, quality_cnn, quality_rules, simhash, toxicity, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,23 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.containment(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedupe_lines(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), wordpiece.read_vocab(spark, wordpiece.DEFAULT_VOCAB))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     failures = F.col("failures")
@@ -38,13 +50,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(op7_token_counts(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_simhash": op1_simhash,
-        "op2_decontaminate": op2_decontaminate,
-        "op5_line_dedup": op5_line_dedup,
-        "op8_quality_rules": op8_quality_rules,
-    }
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_quality_cnn, op5_line_dedup, op6_toxicity, op7_token_counts, op8_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytestext import word_lists
 from .components import connected_components
 from .workspace import Workspace
 
@@ -35,7 +35,6 @@ PIECE = 1 << 20
 #: Work items (a query against 64 signatures) in flight.
 ITEMS = 1 << 15
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -45,15 +44,10 @@ def shingle_hashes(text: bytes | None, n_words: int) -> Iterator[np.ndarray]:
     if not text:
         return
     carry: list[bytes] = []
-    first, at, end = True, 0, len(text)
+    first = True
     hash_of = xxhash.xxh64_intdigest
-    while at < end:
-        stop = min(end, at + PIECE)
-        if stop < end:
-            gap = _SPACE.search(text, stop)
-            stop = gap.start() if gap else end
-        words = carry + text[at:stop].lower().split()
-        at = stop
+    for part in word_lists(text.lower(), PIECE):
+        words = carry + part
         if len(words) < n_words:
             carry = words
             continue

@@ -33,14 +33,14 @@ def _windows(content: Column) -> Column:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A document is its id and text: rows that repeat both are one document."""
-    return docs.select(docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_th"), docs[text_col].alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return docs.select(docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_th"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
 
 
 def repeated_windows(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _th, places): the windows to remove from each document that has any.  A document's
     places are at most as many as its lines; no other group is gathered."""
     keyed = _keyed(docs, id_col, text_col)
-    listed = keyed.select("_id", "_th", let(_content(keyed._text), _windows).alias("w"))
+    listed = keyed.select("_id", "_th", let(_content(keyed._row[text_col]), _windows).alias("w"))
     seen = work.table(listed.select("_id", "_th", F.posexplode("w").alias("pos", "h")).select("_id", "_th", "pos", "h.h1", "h.h2").distinct(), "windows")
     first = seen.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = seen.join(first, ["h1", "h2"]).where(~F.struct("_id", "_th", "pos").eqNullSafe(F.col("first")))
@@ -58,18 +58,21 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     work = Workspace(docs.sparkSession, "lines")
     found = repeated_windows(docs, work, id_col, text_col)
     rows = _keyed(docs, id_col, text_col)
-    both = rows.join(found, rows._id.eqNullSafe(found._id) & (rows._th == found._th), "left")
-    content = _content(rows._text)
+    # The places grow with the corpus, so they are merged with the texts and never broadcast.
+    both = rows.join(found.hint("merge"), rows._id.eqNullSafe(found._id) & (rows._th == found._th), "left")
+    text = rows._row[text_col]
+    content = _content(text)
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (WINDOW - 1))))))
-    base = both.select("_row", "_text", "places", F.size(content).cast("long").alias("_n"), F.when(F.col("places").isNotNull(), content).alias("_content"), covered.alias("_covered"))
-    lines = F.split(F.col("_text"), "\n")
+    base = both.select("_row", "places", F.size(content).cast("long").alias("_n"), F.when(F.col("places").isNotNull(), content).alias("_content"), covered.alias("_covered"))
+    text = F.col("_row")[text_col]
+    lines = F.split(text, "\n")
     gone = F.transform("_covered", lambda p: F.get(F.col("_content"), p)["i"])
     kept = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i)), "\n"))
     spans = F.size(F.filter("_covered", lambda p, j: (j == 0) | (p != F.get(F.col("_covered"), j - 1) + 1)))
     some = F.col("places").isNotNull()
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_spans")]
     return base.select(
-        *[(F.when(some, kept).otherwise(F.col("_text")) if c == text_col else F.col("_row")[c]).alias(c) for c in names],
+        *[(F.when(some, kept).otherwise(text) if c == text_col else F.col("_row")[c]).alias(c) for c in names],
         F.col("_n").alias("n_lines"),
         F.when(some, F.size("_covered")).otherwise(0).cast("long").alias("n_removed"),
         F.when(some, spans).otherwise(0).cast("long").alias("n_spans"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, quality_cnn, quality_rules, simhash, toxicity, wordpiece
+from . import decontam, line_dedup, packing, quality_cnn, quality_rules, simhash, suffix_dedup, toxicity, warc, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedupe_bytes(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedupe_lines(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -50,12 +56,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(op7_token_counts(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_quality_cnn, op5_line_dedup, op6_toxicity, op7_token_counts, op8_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_quality_cnn, op4_suffix_dedup, op5_line_dedup, op6_toxicity, op7_token_counts, op8_quality_rules, op9_warc, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -63,4 +73,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontam.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
     }

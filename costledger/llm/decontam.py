@@ -57,12 +57,14 @@ def containment(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
 
     rows = docs.select(F.col(doc_id).alias("doc"), F.lower(text).alias("t"))
     rows = rows.select("doc", F.xxhash64("t").alias("dt"), "t")
-    hashed = rows.select("doc", "dt", let(words(F.col("t")), lambda w: _hashes(w, n)).alias("hs")).select("doc", "dt", F.size("hs").alias("many"), F.explode("hs").alias("h"))
+    # An outer explode: for a plain one the optimizer adds a filter on the array, and would push it
+    # below the join and compute the array of every document twice.  The joins drop its null rows.
+    hashed = rows.select("doc", "dt", let(words(F.col("t")), lambda w: _hashes(w, n)).alias("hs")).select("doc", "dt", F.size("hs").alias("many"), F.explode_outer("hs").alias("h"))
     found = work.table(hashed.join(_small(sketch, n_sketch), "h").where("many >= least").select("doc", "dt", "item", "it").distinct(), "candidates")
 
     suspects = found.select(F.col("doc").alias("d"), F.col("dt").alias("x")).distinct()
     checked = rows.join(suspects, rows.doc.eqNullSafe(suspects.d) & (rows.dt == suspects.x), "left_semi")
-    told = checked.select("doc", "dt", let(words(F.col("t")), lambda w: shingles(w, n)).alias("s")).select("doc", "dt", F.explode("s").alias("s"))
+    told = checked.select("doc", "dt", let(words(F.col("t")), lambda w: shingles(w, n)).alias("s")).select("doc", "dt", F.explode_outer("s").alias("s"))
     hits = told.join(_small(wanted, n_wanted), "s").groupBy("doc", "dt", "item", "it", "size").agg(F.count_distinct("s").alias("n_found"))
     pair = [hits.doc.eqNullSafe(found.doc), hits.dt == found.dt, hits.item.eqNullSafe(found.item), hits.it == found.it]
     sure = hits.where(F.col("n_found") * 1000 >= F.col("size") * per).join(found, pair, "left_semi")

@@ -12,8 +12,10 @@ fragments of one minimizer.
    share with a neighbour in sorted order, on either side of the minimizer; what is then equal is
    settled as in 2; the others of the group are concatenated, and the suffix array (``suffix_array``)
    brings equal windows together.
-4. A minimizer with over ``GROUP`` different fragments does not fit that: its windows are hashed
-   singly (128 bits) and aggregated, wherever they are.
+4. A minimizer with over ``GROUP`` different fragments does not fit that.  Its fragments are halved: the
+   windows that reach further to the minimizer's left go by a longer core that ends with it, the
+   others by one that begins with it, and steps 2 and 3 are repeated for these cores.  What still has
+   over ``GROUP`` fragments has its windows hashed singly (128 bits) and aggregated.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .workspace import Workspace
 LENGTH, K = 100, 24
 #: Windows in a row that start in one K-gram's reach; a fragment has at most this many windows.
 SPAN = LENGTH - K + 1
+#: Bytes on one side of the minimizer that the windows of a half have in common.
+HALF = SPAN // 2
 #: Window starts of a text that are hashed at a time; below 2^24.
 BLOCK = 1 << 18
 #: Different fragments of one minimizer that one task sorts.
@@ -245,6 +249,45 @@ def _sorted_groups(cut: DataFrame) -> DataFrame:
     return cut.repartition("h").sortWithinPartitions("h", "doc", "pos").select("h", "doc", "pos", "bytes").mapInArrow(run, "doc bigint, start bigint, end bigint")
 
 
+def _halves(cut: DataFrame) -> DataFrame:
+    """(h, doc, pos, bytes): each fragment's windows in two parts, under the hash of their longer core."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h, doc, pos, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                first, count, reach = _unpack(pos)
+                cut_at = min(count, max(0, reach - HALF + 1))
+                seed = h & 0xFFFFFFFFFFFFFFFF
+                for begin, end, core in ((0, cut_at, data[reach - HALF : reach + K] if cut_at else b""), (cut_at, count, data[reach : reach + K + HALF])):
+                    if begin < end:
+                        key = xxhash.xxh3_64_intdigest(core, seed ^ (begin == 0 and cut_at > 0))
+                        out.append((key - (1 << 64) if key >> 63 else key, doc, _pack(first + begin, end - begin, reach - begin), data[begin : end + LENGTH - 1]))
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "doc", "pos", "bytes"])
+
+    return cut.select("h", "doc", "pos", "bytes").mapInArrow(run, "h bigint, doc bigint, pos bigint, bytes binary")
+
+
+def _large_groups(cut: DataFrame, work: Workspace) -> DataFrame:
+    """(doc, start, end) from groups that do not fit a task, by halves and then by single windows."""
+    halves = work.table(_halves(cut).withColumn("f", F.xxhash64("bytes")), "halves")
+    kinds = work.table(halves.groupBy("h", "f").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "half-kinds")
+    both = work.table(halves.join(kinds.hint("merge"), ["h", "f"]).withColumn("is_first", F.struct("doc", "pos") == F.col("first")).drop("first", "f"), "half-rows")
+    equal = both.where("not is_first").select("doc", *_span())
+    mixed = work.table(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "half-mixed")
+    rest = work.table(both.where("is_first").join(mixed.hint("merge"), "h").select("h", "doc", "pos", "bytes", "kinds"), "half-cut")
+    small = _sorted_groups(rest.where(F.col("kinds") <= GROUP))
+    single = _single_windows(rest.where(F.col("kinds") > GROUP).select("h", "doc", "pos", "bytes"), work)
+    return equal.union(small).union(single)
+
+
+def _span():
+    """First byte and end of a fragment's windows."""
+    start = F.shiftright("pos", 16)
+    return start.alias("start"), (start + F.col("pos").bitwiseAND(F.lit(255)) + (LENGTH - 1)).alias("end")
+
+
 def _single_windows(cut: DataFrame, work: Workspace) -> DataFrame:
     """(doc, start, end) of larger groups: a row per window, so that no key gathers in a task."""
 
@@ -272,16 +315,15 @@ def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
     work.drop("minimizers")
     kinds = work.table(runs.groupBy("h", "f").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "kinds")
     mixed = work.table(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
-    span = lambda: (F.shiftright("pos", 16).alias("start"), (F.shiftright("pos", 16) + F.col("pos").bitwiseAND(F.lit(255)) + (LENGTH - 1)).alias("end"))
-    equal = work.table(runs.join(kinds.where("n > 1").select("h", "f", "first").hint("merge"), ["h", "f"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", *span()), "equal")
+    equal = work.table(runs.join(kinds.where("n > 1").select("h", "f", "first").hint("merge"), ["h", "f"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", *_span()), "equal")
     work.drop("runs")
     wanted = kinds.join(mixed.hint("merge"), "h").select("h", "first.doc", "first.pos", "kinds")
     cut = work.table(_cut(wanted.select("h", "doc", "pos"), docs).join(mixed.hint("merge"), "h"), "cut")
     work.drop("kinds", "mixed")
     sorted_ = work.table(_sorted_groups(cut.where(F.col("kinds") <= GROUP)), "sorted")
-    single = work.table(_single_windows(cut.where(F.col("kinds") > GROUP).select("h", "doc", "pos", "bytes"), work), "single")
-    work.drop("cut", "windows", "windows-first")
-    return equal.union(sorted_).union(single)
+    large = work.table(_large_groups(cut.where(F.col("kinds") > GROUP), work), "large")
+    work.drop("cut", "halves", "half-kinds", "half-rows", "half-mixed", "half-cut", "windows", "windows-first")
+    return equal.union(sorted_).union(large)
 
 
 def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:

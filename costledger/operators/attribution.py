@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DAY_MS, AttributionConfig
 from .fill import nearest
+from .tables import written
 
 RESULT = "kind string, hash string, confidence string, file_score double, time_score double, branch_score double, score double"
 
@@ -87,7 +88,7 @@ def next_commit(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) ->
         )
         # Descending, commits before events of the same time, the least hash nearest to the events.
         order = [F.col("t").desc(), F.col("role").asc(), F.col("h").desc(), F.col("id").desc()]
-        got = nearest(both, keys, "t", order, "v", "n", True, width).where("role = 1 and n is not null")
+        got = nearest(both, keys, "t", order, "v", width).withColumnRenamed("later", "n").where("role = 1 and n is not null")
         return got.where(F.col("n.ts") <= F.col("t") + cfg.horizon_ms).select("repo_id", "id", F.col("n").alias(out))
 
     any_branch = looked_up(found, commit.withColumn("hint", F.col("branch_hint")), ["repo_id"], "any")
@@ -112,20 +113,22 @@ def attribute_edits(events: DataFrame, commits: DataFrame, cfg: AttributionConfi
     return out.withColumn("kind", F.coalesce("kind", F.lit("waste")))
 
 
-def attribute(events: DataFrame, commits: DataFrame, cfg: AttributionConfig | None = None) -> DataFrame:
+def attribute(events: DataFrame, commits: DataFrame, cfg: AttributionConfig | None = None, folder: str | None = None) -> DataFrame:
     """``events`` (repo_id, id, session_id, ts_ms, git_branch, rel_files, ...; id unique in its
     repository) with the result, ``adopted_from``, ``provenance`` and ``in_progress``.
 
     A session's order is time, then id.  An event is in progress if it is waste and later than every
-    commit of its repository, merges included, or the repository has none.
+    commit of its repository, merges included, or the repository has none.  With ``folder`` the results
+    of edit events are a table there.
     """
     cfg = cfg or AttributionConfig()
     names = ["kind", "hash", "confidence", "file_score", "time_score", "branch_score", "score"]
     done = attribute_edits(events, commits, cfg).select("repo_id", "id", F.struct(*names).alias("own"))
+    if folder:
+        done = written(done, folder, "edits")
     rows = events.join(done, ["repo_id", "id"], "left").withColumn("v", F.when(F.col("own").isNotNull(), F.struct(F.col("own").alias("r"), F.col("id").alias("src"))))
     keys = ["repo_id", "session_id"]
-    rows = nearest(rows, keys, "ts_ms", [F.col("ts_ms").desc(), F.col("id").desc()], "v", "later", True, DAY_MS)
-    rows = nearest(rows, keys, "ts_ms", [F.col("ts_ms").asc(), F.col("id").asc()], "v", "earlier", False, DAY_MS)
+    rows = nearest(rows, keys, "ts_ms", [F.col("ts_ms").desc(), F.col("id").desc()], "v", DAY_MS, [F.col("ts_ms").asc(), F.col("id").asc()])
     pick = F.coalesce("later", "earlier")
     newest = commits.groupBy("repo_id").agg(F.max("author_ts_ms").alias("newest_ts_ms"))
     out = rows.withColumn("_p", pick).join(newest, "repo_id", "left")

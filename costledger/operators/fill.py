@@ -1,9 +1,9 @@
-"""Nearest value before or after a row, in two levels.
+"""Nearest values before and after a row, in two levels.
 
 A window over a whole key would bring all its rows into one task.  Here the rows of a key are cut into
-time buckets: a window finds the nearest value inside the bucket, and a second one, over one row per
-bucket, finds the nearest bucket that has any.  Windows run with the order reversed where the next
-value is wanted, since ``last`` over the rows so far is linear and ``first`` over those to come is not.
+time buckets: windows find the nearest values inside the bucket, and others, over one row per bucket,
+find the nearest bucket that has any.  For the next value the order is reversed, since ``last`` over
+the rows so far is linear and ``first`` over those to come is not.
 """
 
 from __future__ import annotations
@@ -12,29 +12,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(df: DataFrame, keys: list[str], ts: str, order: list[Column], value: str, out: str, forward: bool, width_ms: int) -> DataFrame:
-    """Adds ``out``: the nearest non-null ``value`` at or after (``forward``) or at or before each row.
+def nearest(df: DataFrame, keys: list[str], ts: str, down: list[Column], value: str, width_ms: int, up: list[Column] | None = None) -> DataFrame:
+    """Adds ``later``, the nearest non-null ``value`` at or after each row, and with ``up`` also
+    ``earlier``, that at or before it.
 
-    ``order`` must run against the direction looked in: descending for ``forward``, else ascending.
-    It must be total, and lead with the timestamp.  Null keys are keys like any other.
+    ``down`` is a total descending order that begins with the timestamp, ``up`` its reverse.  Null keys
+    are keys like any other.
     """
-    bucket = F.floor(F.col(ts) / width_ms).alias("_b")
-    rows = df.withColumn("_b", bucket)
-    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_in", inside)
-    # The bucket's value nearest to rows of other buckets is the one that comes first in time, looking
-    # forward, and last, looking back: in ``order`` it is the last non-null of the bucket.
-    edge = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-    per = edge.groupBy(*keys, "_b").agg(F.max_by("_in", "_n").alias("_edge"))
-    across = Window.partitionBy(*keys).orderBy(F.col("_b").desc() if forward else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    beyond = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.last("_edge", ignorenulls=True).over(across).alias("_out"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
-    joined = rows.join(beyond, on=_all(same), how="left")
-    return joined.select(*df.columns, F.coalesce("_in", "_out").alias(out))
-
-
-def _all(conditions: list[Column]) -> Column:
-    whole = conditions[0]
-    for c in conditions[1:]:
-        whole = whole & c
-    return whole
+    sides = [("later", down, F.col("_b").desc())] + ([("earlier", up, F.col("_b").asc())] if up else [])
+    so_far = (Window.unboundedPreceding, 0)
+    rows = df.withColumn("_b", F.floor(F.col(ts) / width_ms))
+    rows = rows.withColumns({f"_{n}": F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(*so_far)) for n, order, _ in sides})
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*down)))
+    # Seen from other buckets, a bucket's next value is its first in time, and its previous one its last.
+    ends = {"later": F.max_by("_later", "_n"), "earlier": F.min_by("_earlier", "_n") if up else None}
+    per = rows.groupBy(*keys, "_b").agg(*[ends[n].alias(f"_e_{n}") for n, _, _ in sides])
+    across = [F.last(f"_e_{n}", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)).alias(f"_o_{n}") for n, _, o in sides]
+    beyond = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), *across)
+    same = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(beyond, on=same, how="left")
+    return joined.select(*df.columns, *[F.coalesce(f"_{n}", f"_o_{n}").alias(n) for n, _, _ in sides])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AttributionConfig
-from ..operators import attribution, events, pricing
+from ..operators import attribution, events, pricing, tables
 
 
 @dataclass
@@ -28,19 +28,19 @@ class Ledger:
         for name, df in (("ledger", self.rows), ("usage_event", self.raw), ("out_of_scope", self.tally), ("commit", self.commits), ("price_card", self.cards)):
             df.createOrReplaceTempView(prefix + name)
 
-    def persist(self) -> Ledger:
-        self.rows = self.rows.persist()
-        return self
 
-
-def build(usage: DataFrame, commits: DataFrame, price_table: DataFrame, root, cfg: AttributionConfig | None = None) -> Ledger:
+def build(usage: DataFrame, commits: DataFrame, price_table: DataFrame, root, cfg: AttributionConfig | None = None, folder: str | None = None) -> Ledger:
     """``usage`` are raw rows (repo_id, id, ..., cwd, rel_files), ``root`` a column with the repository's
-    folder.  Everything is lazy; nothing is collected but the size of the price table."""
+    folder.  Without ``folder`` everything is lazy; with it the events and the ledger are tables there."""
     inside, tally = events.split_scope(usage, root)
     kept = events.last_wins(inside)
     cards = pricing.cards(price_table)
-    rows = pricing.price(attribution.attribute(kept, commits, cfg), cards)
-    return Ledger(usage.sparkSession, rows.withColumn("total", events.total_tokens()), kept, tally, commits, cards)
+    if folder:
+        kept = tables.written(kept, folder, "events")
+    rows = pricing.price(attribution.attribute(kept, commits, cfg, folder), cards).withColumn("total", events.total_tokens())
+    if folder:
+        rows = tables.written(rows, folder, "ledger")
+    return Ledger(usage.sparkSession, rows, kept, tally, commits, cards)
 
 
 def demo(spark: SparkSession, sf_dir: str, cfg: AttributionConfig | None = None) -> Ledger:

@@ -79,16 +79,18 @@ def classify(lines: DataFrame) -> DataFrame:
     usage = J.at(v, "$.message.usage")
     told = told.withColumn("_own", F.when(is_event, own)).withColumn("_usage", F.when(is_event & own.isNull(), F.to_json(usage)))
     t = tokens(usage)
-    parts = [
-        F.coalesce("_own", F.concat(J.string(v, "$.sessionId"), F.lit(":"), J.string(v, "$.timestamp"), F.lit(":"), F.col("_hash"))),
-        F.lit(AGENT), J.string(v, "$.sessionId"), ts, model, t["input"], t["output"], t["cache_write"], t["cache_read"],
-        J.string(v, "$.cwd"), J.string(v, "$.gitBranch"), edited_files(J.array(v, "$.message.content")), F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)),
-    ]
-    # Only records without ids go through Python; the others never leave the JVM.
-    hashed = told.where(F.col("_usage").isNotNull()).withColumn("_hash", canonical_hash("_usage"))
-    rest = told.where(F.col("_usage").isNull()).withColumn("_hash", F.lit(None).cast("string"))
-    event = F.when(is_event, F.array(F.struct(*parts).cast(EVENT))).otherwise(F.array().cast(f"array<{EVENT}>"))
-    done = rest.unionByName(hashed).withColumn("events", event)
+    parts = {
+        "agent": F.lit(AGENT), "session_id": J.string(v, "$.sessionId"), "ts_ms": ts, "model": model, **t, "cwd": J.string(v, "$.cwd"), "git_branch": J.string(v, "$.gitBranch"),
+        "edited_files": edited_files(J.array(v, "$.message.content")), "is_sidechain": F.coalesce(F.try_variant_get(v, "$.isSidechain", "boolean"), F.lit(False)),
+    }
+    plain = F.concat(J.string(v, "$.sessionId"), F.lit(":"), J.string(v, "$.timestamp"), F.lit(":"))
+    # All that needs the record is read before Python comes in, so that only small rows wait for it;
+    # records with ids send nulls.
+    told = told.withColumn("_e", F.when(is_event, F.struct(*[c.alias(k) for k, c in parts.items()]))).withColumn("_plain", F.when(F.col("_usage").isNotNull(), plain)).drop("v")
+    told = told.withColumn("_hash", canonical_hash("_usage"))
+    ident = F.coalesce("_own", F.concat("_plain", "_hash"))
+    event = F.when(is_event, F.array(F.struct(ident, *[F.col(f"_e.{k}") for k in parts]).cast(EVENT))).otherwise(F.array().cast(f"array<{EVENT}>"))
+    done = told.withColumn("events", event)
     return done.select(*lines.columns, "outcome", "events", F.size("events").alias("n_events"))
 
 

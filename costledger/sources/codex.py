@@ -123,12 +123,10 @@ def classify(lines: DataFrame) -> DataFrame:
         F.concat(session, F.lit(":"), F.col("stamp"), F.lit(":"), F.col("_hash")), F.lit(AGENT), session, F.col("ts_ms"), F.coalesce("model", F.lit("")),
         t["input"], t["output"], t["cache_write"], t["cache_read"], F.col("cwd"), F.col("meta.branch"), F.col("edits"), F.coalesce(F.col("meta.side"), F.lit(False)),
     ]
-    emitted = told.where(step == "event").withColumn("_hash", canonical_hash("info"))
-    emitted = emitted.withColumn("events", F.array(F.struct(*parts).cast(EVENT)))
-    quiet = told.where(step != "event").withColumn("events", F.array().cast(f"array<{EVENT}>"))
+    told = told.withColumn("_hash", canonical_hash("info"))
+    told = told.withColumn("events", F.when(step == "event", F.array(F.struct(*parts).cast(EVENT))).otherwise(F.array().cast(f"array<{EVENT}>")))
     final = F.when(step.isin("meta", "turn", "call"), "ignored").otherwise(step).alias("outcome")
-    pick = [*lines.columns, final, "events", F.size("events").alias("n_events")]
-    return emitted.select(*pick).unionByName(quiet.select(*pick))
+    return told.select(*lines.columns, final, "events", F.size("events").alias("n_events"))
 
 
 def read(spark, root: str) -> tuple[DataFrame, DataFrame]:

@@ -39,5 +39,6 @@ def canonical_hash(texts: pd.Series) -> pd.Series:
 
 def exploded(classified: DataFrame) -> DataFrame:
     """The events of classified lines (``events`` array<EVENT>), placed by file, offset and ordinal."""
-    rows = classified.where(F.size("events") > 0).select("source_file", F.col("offset").alias("line_no"), F.posexplode("events").alias("sub_no", "e"))
+    # An outer explode and a filter behind it: a filter on the array would be moved below and compute it twice.
+    rows = classified.select("source_file", F.col("offset").alias("line_no"), F.posexplode_outer("events").alias("sub_no", "e")).where("e is not null")
     return rows.select(*[F.col(f"e.{c}") for c in COLUMNS], "source_file", "line_no", "sub_no")

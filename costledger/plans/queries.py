@@ -342,8 +342,11 @@ def note_payloads(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import parsing  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

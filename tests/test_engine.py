@@ -6,7 +6,7 @@ import subprocess
 
 import pytest
 
-from costledger import sinks
+from costledger import sinks, text_reports
 from costledger.config import Flags
 from costledger.engine import Engine, UserError, load_config
 from costledger.functions import money
@@ -88,6 +88,7 @@ def test_reports(spark, world):
     doc = eng.doctor()
     assert doc["parse"] == {"linesRead": 8, "linesSkipped": 0, "events": 8, "inScope": 6, "outOfScope": 1, "duplicates": 1, "parsedPct": 100.0}
     assert json.loads(sinks.to_json(told))["schemaVersion"] == 1
+    assert "cache reads" in text_reports.summary(told) and "b.py" in text_reports.show(show) and "r1: $" in text_reports.range_(span) and "-93.0%" in text_reports.reprice(again)
     with pytest.raises(UserError):
         eng.range("HEAD")
     with pytest.raises(UserError):

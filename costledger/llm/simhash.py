@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .bytestext import word_lists
 from .components import connected_components
+from .text import let, word_hashes, words as words_of
 from .workspace import Workspace
 
 #: Signatures of one bucket that are compared in one piece.
@@ -35,6 +36,10 @@ PIECE = 1 << 20
 #: Work items (a query against 64 signatures) in flight.
 ITEMS = 1 << 15
 
+#: Sets to which a row of a tile is compared by its shingles.  A row meets others in many bands, and a
+#: group's least rows in most of them, so its links stay connected without all pairs being made.
+LINKS = 3
+
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -144,8 +149,9 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def close_lanes(bits: np.ndarray, planes: np.ndarray, query: np.ndarray, word: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query row, other row) within the radius; an item compares a query with 64 lanes."""
+def close_lanes(bits: np.ndarray, planes: np.ndarray, query: np.ndarray, word: np.ndarray, valid: np.ndarray, radius: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query row, other row, within ``sure`` too) within the radius; an item compares a query
+    with 64 lanes."""
     n_bits = len(bits)
     counter = [np.zeros(len(query), np.uint64) for _ in range(n_bits.bit_length())]
     for at in range(0, n_bits, 7):
@@ -166,11 +172,13 @@ def close_lanes(bits: np.ndarray, planes: np.ndarray, query: np.ndarray, word: n
             valid = valid & ~_above(counter, radius)
             keep = valid != 0
             if not keep.any():
-                return query[:0], query[:0]
+                return query[:0], query[:0], np.zeros(0, bool)
             if keep.mean() < 0.75:
                 query, word, valid, counter = query[keep], word[keep], valid[keep], [c[keep] for c in counter]
-    item, lane = np.nonzero(np.unpackbits(valid.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    return query[item], word[item] * 64 + lane
+    lanes = lambda m: np.unpackbits(m.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    item, lane = np.nonzero(lanes(valid))
+    near = np.ones(len(item), bool) if sure >= radius else lanes(valid & ~_above(counter, sure))[item, lane].astype(bool)
+    return query[item], word[item] * 64 + lane, near
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -185,14 +193,19 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = flat
 
 
-def forest(sigs: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> np.ndarray:
-    """Rows (n, m bytes); row i is compared with rows first[i] to last[i] - 1.  Returns for each row
-    the smallest row that it is linked with through rows of these comparisons."""
+def forest(sigs: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (n, m bytes); row i is compared with rows first[i] to last[i] - 1.
+
+    Returns for each row the smallest row that it is linked with through rows of these comparisons, by
+    distances of at most ``sure``; and pairs (k, 2) of greater distance up to ``radius`` between rows
+    that are not so linked, at most ``LINKS`` for each row."""
+    sure = radius if sure is None else sure
     bits, planes = planes_of(sigs)
     label = np.arange(len(sigs))
     rows = np.flatnonzero(last > first)
     spans = ((last[rows] - 1) >> 6) - (first[rows] >> 6) + 1
     at, total = 0, np.cumsum(spans)
+    open_: list[np.ndarray] = []
     while at < len(rows):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + ITEMS, "right")))
         part, span = rows[at:stop], spans[at:stop]
@@ -201,13 +214,30 @@ def forest(sigs: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -
         low = np.clip(first[query] - word * 64, 0, 63).astype(np.uint64)
         high = np.clip(last[query] - 1 - word * 64, 0, 63).astype(np.uint64)
         valid = (_ONES << low) & (_ONES >> (np.uint64(63) - high))
-        _merge(label, *close_lanes(bits, planes, query, word, valid, radius))
+        a, b, near = close_lanes(bits, planes, query, word, valid, radius, sure)
+        _merge(label, a[near], b[near])
+        if not near.all():
+            open_.append(_apart(np.stack((a[~near], b[~near]), 1), label))
         at = stop
-    return label
+    return label, _apart(np.concatenate(open_) if open_ else np.zeros((0, 2), np.int64), label)
+
 
+def _apart(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Pairs of different sets: for each row those with the first rows of the ``LINKS`` least sets."""
+    pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 0], label[pairs[:, 0]], pairs[:, 1]))]
+    row, own = pairs[:, 1], label[pairs[:, 0]]
+    new_row = np.r_[True, row[1:] != row[:-1]]
+    new_set = new_row | np.r_[True, own[1:] != own[:-1]]
+    pairs, starts = pairs[new_set], np.flatnonzero(new_row[new_set])
+    rank = np.arange(len(pairs)) - np.repeat(starts, np.diff(np.r_[starts, len(pairs)]))
+    return pairs[rank < LINKS]
 
-def _compare(radius: int):
-    """Rows sorted by tile and chunk -> links (a, b) of nodes."""
+
+def _compare(radius: int, sure: int):
+    """Rows sorted by tile and chunk -> links (a, b, sure) of nodes."""
 
     def links(table: pa.Table) -> pa.RecordBatch:
         n = table.num_rows
@@ -223,11 +253,11 @@ def _compare(radius: int):
         first = np.where(across, start_j[of], first)
         last = np.where(across & ~own, first, last)
         sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, -1)
-        label = forest(sigs, first, last, radius)
+        label, apart = forest(sigs, first, last, radius, sure)
         node = col("node")
         moved = np.flatnonzero(label != np.arange(n))
-        a, b = node[moved], node[label[moved]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        a, b = np.r_[node[moved], node[apart[:, 0]]], np.r_[node[label[moved]], node[apart[:, 1]]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.arange(len(a)) < len(moved))], ["a", "b", "sure"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -276,8 +306,9 @@ def _bucketed(reps: DataFrame, bands: list[list[tuple[int, int]]]) -> DataFrame:
     return reps.select("sig", "node").mapInArrow(run, "band int, key bigint, node bigint, sig binary")
 
 
-def groups(sigs: DataFrame, radius: int, bands: list[list[tuple[int, int]]], work: Workspace) -> DataFrame:
-    """(sig, component): the smallest doc_id reachable over links of at most ``radius`` bits.
+def groups(sigs: DataFrame, radius: int, bands: list[list[tuple[int, int]]], work: Workspace, sure: int | None = None, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(sig, component): the smallest doc_id reachable over links of at most ``radius`` bits, or of at
+    most ``sure`` bits and those further ones that ``verify`` (a, b) keeps.
 
     ``sigs`` (doc_id, sig).  Rows without a doc_id link nothing; their signature's component is null
     unless a row with an id has the same signature.  Rows that repeat a doc_id are one document.
@@ -294,7 +325,10 @@ def groups(sigs: DataFrame, radius: int, bands: list[list[tuple[int, int]]], wor
         .select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "sig")
     )
     tile = ["band", "key", "i", "j"]
-    edges = tiles.repartition(*tile).sortWithinPartitions(*tile, "chunk", "node").mapInArrow(_compare(radius), "a bigint, b bigint")
+    edges = tiles.repartition(*tile).sortWithinPartitions(*tile, "chunk", "node").mapInArrow(_compare(radius, radius if sure is None else sure), "a bigint, b bigint, sure boolean")
+    if verify:
+        edges = work.table(edges, "links")
+        edges = edges.where("sure").select("a", "b").union(verify(edges.where("not sure").select("a", "b").distinct()))
     found = connected_components(edges, work)
     return reps.join(found, reps.node == found.node, "left").select(reps.sig, F.coalesce(found.component, reps.node).alias("component"))
 
@@ -324,22 +358,43 @@ def simhash_components(docs: DataFrame, n_words: int = 4, radius: int = 4, words
     return sigs.join(found, "sig").select("doc_id", F.lower(F.hex("sig")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Expected share of differing bits between documents of Jaccard similarity s over shingle sets is
-#: acos(2s / (1 + s)) / pi.
-def radius_of(similarity: float, bits: int) -> int:
-    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def expected_distance(similarity: float, bits: int) -> float:
+    """Differing bits between documents of a Jaccard similarity over shingle sets."""
+    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radii(similarity: float, bits: int) -> tuple[int, int]:
+    """(sure, radius): three standard errors on either side of the expected distance."""
+    d = expected_distance(similarity, bits)
+    error = math.sqrt(d * (1 - d / bits))
+    return max(0, math.floor(d - 3 * error)), math.ceil(d + 3 * error)
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, n_words: int, similarity: float, work: Workspace) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose shingle sets are at least so similar."""
+    pairs = work.table(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    # The ids grow with the corpus, so they are merged with the texts, not broadcast.
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    sets = work.table(texts.select("doc_id", let(words_of(F.lower("text")), lambda w: F.array_distinct(word_hashes(w, n_words))).alias("s")), "sets")
+    left = pairs.join(sets.hint("merge").withColumnRenamed("doc_id", "a").withColumnRenamed("s", "x"), "a")
+    both = left.join(sets.hint("merge").withColumnRenamed("doc_id", "b").withColumnRenamed("s", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, words: int = 8, band_bits: int = 14) -> DataFrame:
     """(doc_id, component_id) of near-duplicate groups at a shingle similarity, by wide SimHash.
 
-    512 bits put the standard error of the estimated similarity near 0.04 at 0.8; 36 bands of 14
-    bits find a pair at 0.8 with probability 0.98, at 0.9 with over 0.999.  Edge cases as in
-    ``simhash_components``; texts without words form one group.
+    36 bands of 14 of the 512 bits find a pair at 0.8 with probability 0.98, at 0.9 with over 0.999.
+    Distances three standard errors below that of the threshold link at once; those up to three above
+    it are compared by their shingles, ``LINKS`` sets for each document and tile.  Edge cases
+    as in ``simhash_components``; texts without words form one group.
     """
     work = Workspace(docs.sparkSession, "nearcopies")
     sigs = work.table(signatures(docs, n_words, words), "sigs")
     bands = [[(a, a + band_bits)] for a in range(0, 64 * words - band_bits + 1, band_bits)]
-    found = work.table(groups(sigs, radius_of(similarity, 64 * words), bands, work), "found")
-    work.drop("reps", "large")
+    sure, radius = radii(similarity, 64 * words)
+    found = work.table(groups(sigs, radius, bands, work, sure, lambda p: _similar(docs, p, n_words, similarity, work)), "found")
+    work.drop("reps", "large", "links", "pairs", "sets")
     return sigs.join(found, "sig").select("doc_id", F.col("component").alias("component_id"))

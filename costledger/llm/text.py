@@ -33,3 +33,9 @@ def shingles(word_list: Column, n: int) -> Column:
     runs = F.transform(F.sequence(F.lit(1), F.size(word_list) - (n - 1)), lambda i: F.array_join(F.slice(word_list, i, n), " "))
     whole = F.array(F.array_join(word_list, " "))
     return F.when(F.size(word_list) >= n, runs).when(F.size(word_list) > 0, whole).otherwise(F.array().cast("array<string>"))
+
+
+def word_hashes(word_list: Column, n: int) -> Column:
+    """A hash per run of ``n`` words; of fewer words, of all; of none, none."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(word_list) - (n - 1)), lambda i: F.xxhash64(F.slice(word_list, i, n)))
+    return F.when(F.size(word_list) >= n, runs).when(F.size(word_list) > 0, F.array(F.xxhash64(word_list))).otherwise(F.array().cast("array<bigint>"))

@@ -49,7 +49,7 @@ def test_forest_against_all_pairs():
     flips = [sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, 7)))) for _ in range(100)]
     x = np.r_[x, [x[i] ^ np.uint64(f) for i, f in enumerate(flips)]].astype(np.uint64)
     n = len(x)
-    label = S.forest(x.astype(">u8").view(np.uint8).reshape(n, 8), np.arange(n) + 1, np.full(n, n), 4)
+    label, _ = S.forest(x.astype(">u8").view(np.uint8).reshape(n, 8), np.arange(n) + 1, np.full(n, n), 4)
     want = np.arange(n)
     near = np.array([[(int(a) ^ int(b)).bit_count() <= 4 for b in x] for a in x])
     for _ in range(10):

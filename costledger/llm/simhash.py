@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ PIECE = 1 << 20
 #: Work items (a query against 64 signatures) in flight.
 ITEMS = 1 << 15
 
-#: Sets to which a row of a tile is compared by its shingles.  A row meets others in many bands, and a
-#: group's least rows in most of them, so its links stay connected without all pairs being made.
+#: Earlier rows of a tile to which a row is compared by its shingles.  A row meets others in many bands,
+#: and a group's least rows in most of them, so its links stay connected without all pairs being made.
 LINKS = 3
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -124,6 +124,29 @@ def signatures(docs: DataFrame, n_words: int = 5, words: int = 8, id_col: str =
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, sig binary")
 
 
+def set_signature(text: bytes | None, n_words: int, words: int) -> tuple[bytes, bytes]:
+    """(signature, digest) of the set of a text's shingles: repeats count once."""
+    hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, n_words)]))
+    counts = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 18):
+        counts += column_counts(widen(hashes[at : at + (1 << 18)], words))
+    bits = (2 * counts > len(hashes))[:, ::-1]
+    return np.packbits(bits.astype(np.uint8), axis=1).tobytes(), xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def set_signatures(docs: DataFrame, n_words: int, words: int) -> DataFrame:
+    """(doc_id, sig, digest): one row per row of ``docs``; equal shingle sets have equal digests."""
+
+    def run(batches):
+        for batch in batches:
+            found = [set_signature(t.as_py(), n_words, words) for t in batch.column(1)]
+            sigs, digests = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(digests, pa.binary())], ["doc_id", "sig", "digest"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", docs["text"].cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, sig binary, digest binary")
+
+
 def planes_of(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signatures as bytes (n, m) -> bits (8m, n) and planes (8m, ceil(n / 64)) of 64-bit words."""
     bits = np.ascontiguousarray(np.unpackbits(sigs, axis=1).T)
@@ -149,9 +172,8 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def close_lanes(bits: np.ndarray, planes: np.ndarray, query: np.ndarray, word: np.ndarray, valid: np.ndarray, radius: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (query row, other row, within ``sure`` too) within the radius; an item compares a query
-    with 64 lanes."""
+def close_lanes(bits: np.ndarray, planes: np.ndarray, query: np.ndarray, word: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query row, other row) within the radius; an item compares a query with 64 lanes."""
     n_bits = len(bits)
     counter = [np.zeros(len(query), np.uint64) for _ in range(n_bits.bit_length())]
     for at in range(0, n_bits, 7):
@@ -172,13 +194,12 @@ def close_lanes(bits: np.ndarray, planes: np.ndarray, query: np.ndarray, word: n
             valid = valid & ~_above(counter, radius)
             keep = valid != 0
             if not keep.any():
-                return query[:0], query[:0], np.zeros(0, bool)
+                return query[:0], query[:0]
             if keep.mean() < 0.75:
                 query, word, valid, counter = query[keep], word[keep], valid[keep], [c[keep] for c in counter]
-    lanes = lambda m: np.unpackbits(m.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    item, lane = np.nonzero(lanes(valid))
-    near = np.ones(len(item), bool) if sure >= radius else lanes(valid & ~_above(counter, sure))[item, lane].astype(bool)
-    return query[item], word[item] * 64 + lane, near
+    lanes = np.unpackbits(valid.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    item, lane = np.nonzero(lanes)
+    return query[item], word[item] * 64 + lane
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -193,19 +214,14 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = flat
 
 
-def forest(sigs: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int, sure: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(sigs: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (n, m bytes); row i is compared with rows first[i] to last[i] - 1.
 
-    Returns for each row the smallest row that it is linked with through rows of these comparisons, by
-    distances of at most ``sure``; and pairs (k, 2) of greater distance up to ``radius`` between rows
-    that are not so linked, at most ``LINKS`` for each row."""
-    sure = radius if sure is None else sure
+    Yields pairs (row, other row) within the radius, ordered, in pieces."""
     bits, planes = planes_of(sigs)
-    label = np.arange(len(sigs))
     rows = np.flatnonzero(last > first)
     spans = ((last[rows] - 1) >> 6) - (first[rows] >> 6) + 1
     at, total = 0, np.cumsum(spans)
-    open_: list[np.ndarray] = []
     while at < len(rows):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + ITEMS, "right")))
         part, span = rows[at:stop], spans[at:stop]
@@ -214,67 +230,94 @@ def forest(sigs: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int, s
         low = np.clip(first[query] - word * 64, 0, 63).astype(np.uint64)
         high = np.clip(last[query] - 1 - word * 64, 0, 63).astype(np.uint64)
         valid = (_ONES << low) & (_ONES >> (np.uint64(63) - high))
-        a, b, near = close_lanes(bits, planes, query, word, valid, radius, sure)
-        _merge(label, a[near], b[near])
-        if not near.all():
-            open_.append(_apart(np.stack((a[~near], b[~near]), 1), label))
+        yield close_lanes(bits, planes, query, word, valid, radius)
         at = stop
-    return label, _apart(np.concatenate(open_) if open_ else np.zeros((0, 2), np.int64), label)
 
 
-def _apart(pairs: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Pairs of different sets: for each row those with the first rows of the ``LINKS`` least sets."""
-    pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-    if not len(pairs):
-        return pairs
-    pairs = pairs[np.lexsort((pairs[:, 0], label[pairs[:, 0]], pairs[:, 1]))]
-    row, own = pairs[:, 1], label[pairs[:, 0]]
-    new_row = np.r_[True, row[1:] != row[:-1]]
-    new_set = new_row | np.r_[True, own[1:] != own[:-1]]
-    pairs, starts = pairs[new_set], np.flatnonzero(new_row[new_set])
-    rank = np.arange(len(pairs)) - np.repeat(starts, np.diff(np.r_[starts, len(pairs)]))
-    return pairs[rank < LINKS]
+def forest(sigs: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the smallest row that it is linked with through rows of these comparisons; and the
+    rows for which that is another row."""
+    label = np.arange(len(sigs))
+    for a, b in close_pairs(sigs, first, last, radius):
+        _merge(label, a, b)
+    return label, np.flatnonzero(label != np.arange(len(sigs)))
+
+
+def _tile(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in ("band", "key", "i", "j")], 1)
 
 
-def _compare(radius: int, sure: int):
-    """Rows sorted by tile and chunk -> links (a, b, sure) of nodes."""
+def _ranges(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by tile and chunk -> (first, last, sigs) to compare, and the first row of each row's tile."""
+    n = table.num_rows
+    tile = _tile(table)
+    new = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(1)])
+    bound = np.r_[new, n]
+    of = np.repeat(np.arange(len(new)), np.diff(bound))
+    first, last = np.arange(n) + 1, bound[of + 1].copy()
+    across = tile[:, 2] != tile[:, 3]
+    own = table.column("chunk").to_numpy() == tile[:, 2]
+    start_j = np.r_[new, 0][:-1] + np.add.reduceat((own & across).astype(np.int64), new) if n else new
+    first = np.where(across, start_j[of], first)
+    last = np.where(across & ~own, first, last)
+    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, -1)
+    return first, last, sigs, new[of]
+
+
+def _links(radius: int):
+    """Rows sorted by tile and chunk -> links (a, b) of nodes, a spanning forest for each tile."""
 
     def links(table: pa.Table) -> pa.RecordBatch:
-        n = table.num_rows
-        col = lambda c: table.column(c).to_numpy()
-        tile = np.stack([col(c) for c in ("band", "key", "i", "j")], 1)
-        new = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(1)])
-        bound = np.r_[new, n]
-        of = np.repeat(np.arange(len(new)), np.diff(bound))
-        first, last = np.arange(n) + 1, bound[of + 1].copy()
-        across = tile[:, 2] != tile[:, 3]
-        own = col("chunk") == tile[:, 2]
-        start_j = np.r_[new, 0][:-1] + np.add.reduceat((own & across).astype(np.int64), new) if n else new
-        first = np.where(across, start_j[of], first)
-        last = np.where(across & ~own, first, last)
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, -1)
-        label, apart = forest(sigs, first, last, radius, sure)
-        node = col("node")
-        moved = np.flatnonzero(label != np.arange(n))
-        a, b = np.r_[node[moved], node[apart[:, 0]]], np.r_[node[label[moved]], node[apart[:, 1]]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.arange(len(a)) < len(moved))], ["a", "b", "sure"])
+        first, last, sigs, _ = _ranges(table)
+        label, moved = forest(sigs, first, last, radius)
+        node = table.column("node").to_numpy()
+        a, b = node[moved], node[label[moved]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return links
+
+
+def _candidates(radius: int):
+    """Rows sorted by tile and chunk -> pairs (a, b) of nodes within the radius, for each row those with
+    the first ``LINKS`` earlier rows of its tile."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        first, last, sigs, _ = _ranges(table)
+        taken = np.zeros(len(sigs), np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in close_pairs(sigs, first, last, radius):
+            order = np.argsort(b, kind="stable")
+            a, b = a[order], b[order]
+            start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else b
+            keep = np.arange(len(b)) - np.repeat(start, np.diff(np.r_[start, len(b)])) + taken[b] < LINKS
+            taken += np.bincount(b, minlength=len(sigs))
+            found.append(np.stack((a[keep], b[keep]), 1))
+        node = table.column("node").to_numpy()
+        a, b = node[np.concatenate(found)].T
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return links
+
+
+def _by_tile(work_on, rows: int = 1 << 15):
+    """Hands whole tiles of batches sorted by tile to ``work_on``, about ``rows`` rows at a time."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < 1 << 15:
+            if sum(b.num_rows for b in held) < rows:
                 continue
             table = pa.Table.from_batches(held)
-            tile = np.stack([table.column(c).to_numpy() for c in ("band", "key", "i", "j")], 1)
+            tile = _tile(table)
             cut = np.flatnonzero((tile != tile[-1]).any(1))
             if len(cut):
                 done = int(cut[-1]) + 1
-                yield links(table.slice(0, done))
+                yield work_on(table.slice(0, done))
                 table = table.slice(done)
             held = table.to_batches()
-        if held:
-            yield links(pa.Table.from_batches(held))
+        if held and sum(b.num_rows for b in held):
+            yield work_on(pa.Table.from_batches(held))
 
     return run
 
@@ -306,29 +349,39 @@ def _bucketed(reps: DataFrame, bands: list[list[tuple[int, int]]]) -> DataFrame:
     return reps.select("sig", "node").mapInArrow(run, "band int, key bigint, node bigint, sig binary")
 
 
-def groups(sigs: DataFrame, radius: int, bands: list[list[tuple[int, int]]], work: Workspace, sure: int | None = None, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(sig, component): the smallest doc_id reachable over links of at most ``radius`` bits, or of at
-    most ``sure`` bits and those further ones that ``verify`` (a, b) keeps.
-
-    ``sigs`` (doc_id, sig).  Rows without a doc_id link nothing; their signature's component is null
-    unless a row with an id has the same signature.  Rows that repeat a doc_id are one document.
-    """
-    reps = work.table(sigs.groupBy("sig").agg(F.min("doc_id").alias("node")), "reps")
-    rows = _bucketed(reps.where("node is not null"), bands)
-    large = work.table(rows.groupBy("band", "key").count().where(F.col("count") > CHUNK).select("band", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    tiles = (
+def _tiled(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``rows`` (band, key, node, ...) of buckets -> sorted rows of tiles; ``large`` (band, key, chunks)
+    has the buckets of several chunks."""
+    rest = [c for c in rows.columns if c not in ("band", "key", "node")]
+    return (
         rows.join(large, ["band", "key"], "left")
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn("chunk", own)
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "sig")
+        .select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", *rest)
     )
+
+
+def _sorted_tiles(tiles: DataFrame) -> DataFrame:
     tile = ["band", "key", "i", "j"]
-    edges = tiles.repartition(*tile).sortWithinPartitions(*tile, "chunk", "node").mapInArrow(_compare(radius, radius if sure is None else sure), "a bigint, b bigint, sure boolean")
-    if verify:
-        edges = work.table(edges, "links")
-        edges = edges.where("sure").select("a", "b").union(verify(edges.where("not sure").select("a", "b").distinct()))
+    return tiles.repartition(*tile).sortWithinPartitions(*tile, "chunk", "node")
+
+
+def _tiles(reps: DataFrame, bands: list[list[tuple[int, int]]], work: Workspace) -> DataFrame:
+    """Rows of tiles of ``reps`` (sig, node)."""
+    rows = _bucketed(reps.where("node is not null"), bands)
+    large = work.table(rows.groupBy("band", "key").count().where(F.col("count") > CHUNK).select("band", "key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "large")
+    return _tiled(rows, large)
+
+
+def groups(sigs: DataFrame, radius: int, bands: list[list[tuple[int, int]]], work: Workspace) -> DataFrame:
+    """(sig, component): the smallest doc_id reachable over links of at most ``radius`` bits.
+
+    ``sigs`` (doc_id, sig).  Rows without a doc_id link nothing; their signature's component is null
+    unless a row with an id has the same signature.  Rows that repeat a doc_id are one document.
+    """
+    reps = work.table(sigs.groupBy("sig").agg(F.min("doc_id").alias("node")), "reps")
+    edges = _sorted_tiles(_tiles(reps, bands, work)).mapInArrow(_by_tile(_links(radius)), "a bigint, b bigint")
     found = connected_components(edges, work)
     return reps.join(found, reps.node == found.node, "left").select(reps.sig, F.coalesce(found.component, reps.node).alias("component"))
 
@@ -363,20 +416,24 @@ def expected_distance(similarity: float, bits: int) -> float:
     return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def radii(similarity: float, bits: int) -> tuple[int, int]:
-    """(sure, radius): three standard errors on either side of the expected distance."""
+def radius_for(similarity: float, bits: int) -> int:
+    """Three standard errors above the expected distance."""
     d = expected_distance(similarity, bits)
-    error = math.sqrt(d * (1 - d / bits))
-    return max(0, math.floor(d - 3 * error)), math.ceil(d + 3 * error)
+    return math.ceil(d + 3 * math.sqrt(d * (1 - d / bits)))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
+    """(doc_id, s): the distinct shingles of the documents of ``ids`` (doc_id)."""
+    # The ids grow with the corpus, so they are merged with the texts, not broadcast.
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    return texts.select("doc_id", let(words_of(F.lower("text")), lambda w: F.array_distinct(word_hashes(w, n_words))).alias("s"))
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, n_words: int, similarity: float, work: Workspace) -> DataFrame:
     """The pairs (a, b) of doc_ids whose shingle sets are at least so similar."""
     pairs = work.table(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # The ids grow with the corpus, so they are merged with the texts, not broadcast.
-    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = work.table(texts.select("doc_id", let(words_of(F.lower("text")), lambda w: F.array_distinct(word_hashes(w, n_words))).alias("s")), "sets")
+    sets = work.table(_sets(docs, ids, n_words), "sets")
     left = pairs.join(sets.hint("merge").withColumnRenamed("doc_id", "a").withColumnRenamed("s", "x"), "a")
     both = left.join(sets.hint("merge").withColumnRenamed("doc_id", "b").withColumnRenamed("s", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -387,14 +444,19 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
     """(doc_id, component_id) of near-duplicate groups at a shingle similarity, by wide SimHash.
 
     36 bands of 14 of the 512 bits find a pair at 0.8 with probability 0.98, at 0.9 with over 0.999.
-    Distances three standard errors below that of the threshold link at once; those up to three above
-    it are compared by their shingles, ``LINKS`` sets for each document and tile.  Edge cases
-    as in ``simhash_components``; texts without words form one group.
+    The signature is that of the shingle set.  Equal sets are one row; every other link, also one of
+    equal signatures, is compared by the shingles, ``LINKS`` rows for each document and tile.  Edge
+    cases as in ``simhash_components``; texts without words form one group.
     """
     work = Workspace(docs.sparkSession, "nearcopies")
-    sigs = work.table(signatures(docs, n_words, words), "sigs")
+    sigs = work.table(set_signatures(docs, n_words, words), "sigs")
     bands = [[(a, a + band_bits)] for a in range(0, 64 * words - band_bits + 1, band_bits)]
-    sure, radius = radii(similarity, 64 * words)
-    found = work.table(groups(sigs, radius, bands, work, sure, lambda p: _similar(docs, p, n_words, similarity, work)), "found")
+    radius = radius_for(similarity, 64 * words)
+    reps = work.table(sigs.groupBy("sig", "digest").agg(F.min("doc_id").alias("node")), "reps")
+    tiles = _tiles(reps, bands, work)
+    links = work.table(_sorted_tiles(tiles).mapInArrow(_by_tile(_candidates(radius)), "a bigint, b bigint"), "links")
+    edges = _similar(docs, links.where("a <> b").distinct(), n_words, similarity, work)
+    joined = connected_components(edges, work)
+    found = work.table(reps.join(joined, reps.node == joined.node, "left").select("sig", "digest", F.coalesce(joined.component, reps.node).alias("component")), "found")
     work.drop("reps", "large", "links", "pairs", "sets")
-    return sigs.join(found, "sig").select("doc_id", F.col("component").alias("component_id"))
+    return sigs.join(found, ["sig", "digest"]).select("doc_id", F.col("component").alias("component_id"))

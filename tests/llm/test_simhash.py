@@ -80,3 +80,22 @@ def test_near_duplicates(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate(base + near)]
     got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[40 + i] == got[i] == i for i in range(20)) and all(got[i] == i for i in range(20, 40))
+
+
+def test_near_duplicates_with_filler(spark):
+    rnd = random.Random(6)
+    filler = " ".join(["."] * 104)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 50000)}" for _ in range(300)) + " " + filler) for i in range(12)]
+    rows += [(20, rows[0][1].replace(" . .", " . . ."))]
+    sigs = {S.signature(t.encode(), 5, 8) for _, t in rows[:2]}
+    assert len(sigs) == 1 or sum((x ^ y).bit_count() for x, y in zip(*sigs)) <= 53
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(12)} | {20: 0}
+
+
+def test_equal_signatures_are_verified(spark, monkeypatch):
+    real = S.set_signature
+    monkeypatch.setattr(S, "set_signature", lambda t, n, w: (b"\x55" * 64, real(t, n, w)[1]))
+    rows = [(i, " ".join(f"{'abc'[i % 3]}{k}" for k in range(60))) for i in range(6)]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 3 for i in range(6)}

@@ -36,9 +36,12 @@ PIECE = 1 << 20
 #: Work items (a query against 64 signatures) in flight.
 ITEMS = 1 << 15
 
-#: Earlier rows of a tile to which a row is compared by its shingles.  A row meets others in many bands,
-#: and a group's least rows in most of them, so its links stay connected without all pairs being made.
+#: Earlier rows of a tile to which a row is compared by its shingles at first.  A row meets others in many
+#: bands, and a group's least rows in most of them, so this joins most groups without all pairs being made.
+#: Rows that meet more are compared with all of them that are not joined by then.
 LINKS = 3
+#: Bytes of shingle hashes in one chunk of rows that are compared with all others.
+SET_BYTES = 1 << 25
 
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -279,11 +282,11 @@ def _links(radius: int):
 
 def _candidates(radius: int):
     """Rows sorted by tile and chunk -> pairs (a, b) of nodes within the radius, for each row those with
-    the first ``LINKS`` earlier rows of its tile."""
+    the first ``LINKS`` earlier rows of its tile; and (band, key, i, j) of tiles that have more."""
 
     def links(table: pa.Table) -> pa.RecordBatch:
-        first, last, sigs, _ = _ranges(table)
-        taken = np.zeros(len(sigs), np.int64)
+        first, last, sigs, start_of = _ranges(table)
+        taken, more = np.zeros(len(sigs), np.int64), np.zeros(len(sigs), bool)
         found = [np.zeros((0, 2), np.int64)]
         for a, b in close_pairs(sigs, first, last, radius):
             order = np.argsort(b, kind="stable")
@@ -292,8 +295,75 @@ def _candidates(radius: int):
             keep = np.arange(len(b)) - np.repeat(start, np.diff(np.r_[start, len(b)])) + taken[b] < LINKS
             taken += np.bincount(b, minlength=len(sigs))
             found.append(np.stack((a[keep], b[keep]), 1))
+            more[start_of[b[~keep]]] = True
         node = table.column("node").to_numpy()
         a, b = node[np.concatenate(found)].T
+        tile = _tile(table)[more]
+        fill = lambda n, kind: pa.nulls(n, kind)
+        ends = [pa.concat_arrays([pa.array(c), fill(len(tile), pa.int64())]) for c in (np.maximum(a, b), np.minimum(a, b))]
+        tiles = [pa.concat_arrays([fill(len(a), kind), pa.array(c, kind)]) for c, kind in zip(tile.T, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*ends, *tiles], ["a", "b", "band", "key", "i", "j"])
+
+    return links
+
+
+def _unjoined(radius: int, bands: list[list[tuple[int, int]]]):
+    """Rows sorted by tile and chunk -> (band, key, node, sig, component) of rows within the radius of one
+    of another component.  A pair counts in the first band that it agrees on."""
+
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        first, last, sigs, _ = _ranges(table)
+        keys = _keys(sigs, bands)
+        band, component = table.column("band").to_numpy(), table.column("component").to_numpy()
+        open_ = np.zeros(len(sigs), bool)
+        for a, b in close_pairs(sigs, first, last, radius):
+            apart = component[a] != component[b]
+            a, b = a[apart], b[apart]
+            for k in range(len(bands)):
+                new = (band[a] <= k) | (keys[k][a] != keys[k][b])
+                a, b = a[new], b[new]
+            open_[a] = open_[b] = True
+        at = pa.array(np.flatnonzero(open_))
+        names = ["band", "key", "node", "sig", "component"]
+        return pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(at) for c in names], names)
+
+    return rows
+
+
+def _verified(radius: int, similarity: float):
+    """Rows sorted by tile and chunk, with their shingle sets ``s`` -> links (a, b) of nodes of different
+    components whose sets are at least so similar.  All pairs within the radius that are not joined by
+    then are compared."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        first, last, sigs, _ = _ranges(table)
+        lists = table.column("s").combine_chunks()
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        sets = [np.sort(flat[e - n : e]) for e, n in zip(ends, sizes)]
+        node = table.column("node").to_numpy()
+        _, start, of = np.unique(table.column("component").to_numpy(), return_index=True, return_inverse=True)
+        label, found = start[of], [np.zeros((0, 2), np.int64)]
+        for a, b in close_pairs(sigs, first, last, radius):
+            able = (label[a] != label[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
+            a, b = a[able], b[able]
+            cuts = np.r_[np.flatnonzero(np.r_[True, a[1:] != a[:-1]]), len(a)] if len(a) else a
+            for lo, hi in zip(cuts, cuts[1:]):
+                x, ys = a[lo], b[lo:hi]
+                ys = ys[label[ys] != label[x]]
+                if not len(ys):
+                    continue
+                other, n = np.concatenate([sets[y] for y in ys]), sizes[ys]
+                at = np.searchsorted(sets[x], other)
+                hit = np.zeros(len(other) + 1, np.int64)
+                inside = at < sizes[x]
+                hit[1:][inside] = sets[x][at[inside]] == other[inside]
+                total, stop = np.cumsum(hit), np.cumsum(n)
+                common = total[stop] - total[stop - n]
+                ys = ys[common >= similarity * (sizes[x] + n - common)]
+                found.append(np.stack((np.full(len(ys), x), ys), 1))
+                _merge(label, found[-1][:, 0], ys)
+        a, b = node[np.concatenate(found)].T
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     return links
@@ -329,6 +399,19 @@ def exact_bands(bits: int, radius: int, blocks: int) -> list[list[tuple[int, int
     return [[(cuts[i], cuts[i + 1]) for i in pick] for pick in itertools.combinations(range(blocks), blocks - radius)]
 
 
+def _keys(sigs: np.ndarray, bands: list[list[tuple[int, int]]]) -> list[np.ndarray]:
+    """Signatures as bytes (n, m) -> for each band, the bits of its slices as numbers."""
+    bits = np.ascontiguousarray(np.unpackbits(sigs, axis=1).T)
+    keys = []
+    for spans in bands:
+        key = np.zeros(len(sigs), np.int64)
+        for a, b in spans:
+            for p in range(a, b):
+                key = key << 1 | bits[p]
+        keys.append(key)
+    return keys
+
+
 def _bucketed(reps: DataFrame, bands: list[list[tuple[int, int]]]) -> DataFrame:
     """A row per band: (band, key, node, sig)."""
 
@@ -338,12 +421,7 @@ def _bucketed(reps: DataFrame, bands: list[list[tuple[int, int]]]) -> DataFrame:
             if not n:
                 continue
             sig = batch.column(0)
-            bits = np.unpackbits(np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(n, -1), axis=1)
-            for band, spans in enumerate(bands):
-                key = np.zeros(n, np.int64)
-                for a, b in spans:
-                    for p in range(a, b):
-                        key = key << 1 | bits[:, p]
+            for band, key in enumerate(_keys(np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(n, -1), bands)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, band, np.int32)), pa.array(key), batch.column(1), sig], ["band", "key", "node", "sig"])
 
     return reps.select("sig", "node").mapInArrow(run, "band int, key bigint, node bigint, sig binary")
@@ -440,13 +518,34 @@ def _similar(docs: DataFrame, pairs: DataFrame, n_words: int, similarity: float,
     return both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _rest(docs: DataFrame, tiles: DataFrame, more: DataFrame, joined: DataFrame, n_words: int, similarity: float, radius: int, bands: list[list[tuple[int, int]]], work: Workspace) -> DataFrame:
+    """The links (a, b) at the similarity that the tiles ``more`` hold between components of ``joined``.
+
+    Rows within the radius of another component's come with their sets to tiles of few bytes, where all
+    pairs not yet joined are compared: no pair becomes a row of a table unless it is a link."""
+    again = tiles.join(more, ["band", "key", "i", "j"], "left_semi")
+    parts = joined.hint("merge").withColumnRenamed("node", "_node")
+    again = again.join(parts, again.node == parts._node, "left").withColumn("component", F.coalesce("component", "node")).drop("_node")
+    kind = "band int, key bigint, node bigint, sig binary, component bigint"
+    names = ["band", "key", "i", "j", "chunk", "node", "sig", "component"]
+    rows = work.table(_sorted_tiles(again.select(*names)).mapInArrow(_by_tile(_unjoined(radius, bands)), kind).distinct(), "unjoined")
+    sets = work.table(_sets(docs, rows.select(F.col("node").alias("doc_id")).distinct(), n_words), "unjoined-sets")
+    chunks = lambda n: F.greatest(F.ceil(F.sum(8 * n) / SET_BYTES), F.ceil(F.count("*") / CHUNK)).cast("int")
+    sizes = sets.select(F.col("doc_id").alias("node"), F.size("s").cast("long").alias("n"))
+    large = work.table(rows.join(sizes.hint("merge"), "node").groupBy("band", "key").agg(chunks(F.col("n")).alias("chunks")).where("chunks > 1"), "unjoined-large")
+    # The rows are cut into tiles before the sets are added, so that a bucket never gathers them.
+    held = _tiled(rows, large)
+    full = held.join(sets.hint("merge").withColumnRenamed("doc_id", "node"), "node")
+    return work.table(_sorted_tiles(full).mapInArrow(_by_tile(_verified(radius, similarity), 1), "a bigint, b bigint"), "rest")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8, words: int = 8, band_bits: int = 14) -> DataFrame:
     """(doc_id, component_id) of near-duplicate groups at a shingle similarity, by wide SimHash.
 
     36 bands of 14 of the 512 bits find a pair at 0.8 with probability 0.98, at 0.9 with over 0.999.
     The signature is that of the shingle set.  Equal sets are one row; every other link, also one of
-    equal signatures, is compared by the shingles, ``LINKS`` rows for each document and tile.  Edge
-    cases as in ``simhash_components``; texts without words form one group.
+    equal signatures, is compared by the shingles: first with ``LINKS`` rows for each document and
+    tile, then, in tiles that hold more, with all rows of other components.  Edge cases as in ``simhash_components``; texts without words form one group.
     """
     work = Workspace(docs.sparkSession, "nearcopies")
     sigs = work.table(set_signatures(docs, n_words, words), "sigs")
@@ -454,9 +553,13 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
     radius = radius_for(similarity, 64 * words)
     reps = work.table(sigs.groupBy("sig", "digest").agg(F.min("doc_id").alias("node")), "reps")
     tiles = _tiles(reps, bands, work)
-    links = work.table(_sorted_tiles(tiles).mapInArrow(_by_tile(_candidates(radius)), "a bigint, b bigint"), "links")
-    edges = _similar(docs, links.where("a <> b").distinct(), n_words, similarity, work)
-    joined = connected_components(edges, work)
+    links = work.table(_sorted_tiles(tiles).mapInArrow(_by_tile(_candidates(radius)), "a bigint, b bigint, band int, key bigint, i int, j int"), "links")
+    edges = work.table(_similar(docs, links.where("a <> b").select("a", "b").distinct(), n_words, similarity, work), "similar")
+    joined = work.table(connected_components(edges, work), "joined")
+    more = work.table(links.where("a is null").select("band", "key", "i", "j").distinct(), "more")
+    if more.limit(1).count():
+        rest = _rest(docs, tiles, more, joined, n_words, similarity, radius, bands, work)
+        joined = connected_components(edges.union(rest), work)
     found = work.table(reps.join(joined, reps.node == joined.node, "left").select("sig", "digest", F.coalesce(joined.component, reps.node).alias("component")), "found")
-    work.drop("reps", "large", "links", "pairs", "sets")
+    work.drop("reps", "large", "links", "pairs", "sets", "similar", "joined", "more", "unjoined", "unjoined-sets", "unjoined-large", "rest")
     return sigs.join(found, ["sig", "digest"]).select("doc_id", F.col("component").alias("component_id"))

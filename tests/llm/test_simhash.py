@@ -99,3 +99,32 @@ def test_equal_signatures_are_verified(spark, monkeypatch):
     rows = [(i, " ".join(f"{'abc'[i % 3]}{k}" for k in range(60))) for i in range(6)]
     got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i % 3 for i in range(6)}
+
+
+def jaccard_components(rows, k=5, similarity=0.8):
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (t.split() for _, t in rows)]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    return {d: rows[label[i]][0] for i, (d, _) in enumerate(rows)}
+
+
+def family(members, pairs, seed):
+    """Documents of one template at a similarity of about 0.7, of which the last have a copy at about 0.87."""
+    rnd = random.Random(seed)
+    new = lambda n: [f"w{rnd.randint(0, 99999)}" for _ in range(n)]
+    template = new(240)
+    own = [template + new(50) for _ in range(members)]
+    return [(i, " ".join(w)) for i, w in enumerate(own + [w[:-18] + new(18) for w in own[members - pairs :]])]
+
+
+def test_pairs_in_a_family(spark, monkeypatch):
+    rows = family(60, 30, 7)
+    want = jaccard_components(rows)
+    assert len(set(want.values())) == 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(S, "CHUNK", 16)  # many tiles
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == want

@@ -306,7 +306,7 @@ def _single_windows(cut: DataFrame, work: Workspace) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
-    """``docs`` (doc bigint, text binary), doc unique or repeated with equal texts only.
+    """``docs`` (doc bigint, text binary), doc unique.
 
     Returns (doc, start, end): bytes to remove, possibly overlapping.
     """
@@ -339,6 +339,13 @@ def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
     return work.table(both.join(ranks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th"))).select("doc_id", "text", "doc"), "keyed")
 
 
+def _once(keyed: DataFrame, work: Workspace) -> DataFrame:
+    """(doc, text), a row per document.  Only a table that repeats a document is written again."""
+    if not keyed.groupBy("doc").count().where("count > 1").limit(1).count():
+        return keyed
+    return work.table(keyed.select("doc", "text").dropDuplicates(["doc"]), "once")
+
+
 def dedupe_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` -> (doc_id, n_bytes, spans array<struct<start, end>>, kept binary), a row per row.
 
@@ -349,7 +356,7 @@ def dedupe_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     work = Workspace(docs.sparkSession, "suffix")
     text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
     keyed = _keyed(docs.select(docs[id_col].alias("doc_id"), text.alias("text")), work)
-    lists = repeated_spans(keyed, work).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("list"))
+    lists = repeated_spans(_once(keyed, work), work).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("list"))
     both = keyed.join(lists.hint("merge"), "doc", "left").select("doc_id", "text", "list")
 
     def run(batches):

@@ -71,3 +71,17 @@ def test_odd_ids(spark):
     got = [(r.doc_id, len(r.spans)) for r in S.dedupe_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=repr) == [(3, 1), (3, 1), (3, 1), (5, 0), (None, 0)]
     assert S.dedupe_bytes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_repeated_rows_hold_the_first_occurrence(spark, monkeypatch):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = text(300)
+    rows = [(1, text(150) + passage + text(150)), (2, text(90) + passage[40:260] + text(90)), (3, text(50) + passage[:210] + text(50))]
+    want = {d: r for d, *r in brute([(d, t.encode()) for d, t in rows])}
+    df = spark.createDataFrame([rows[0], *rows, rows[2]], "doc_id long, text string").repartition(3)
+    repeated = sorted(((d, *want[d]) for d in (1, 1, 2, 3, 3)), key=repr)
+    assert want[1][1] == 0 and want[2][1] == 220
+    assert digest(S.dedupe_bytes(df)) == repeated
+    monkeypatch.setattr(S, "GROUP", 1)
+    assert digest(S.dedupe_bytes(df)) == repeated

@@ -128,3 +128,13 @@ def test_pairs_in_a_family(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == want
     monkeypatch.setattr(S, "CHUNK", 16)  # many tiles
     assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == want
+
+
+def test_bands_miss_little():
+    rng = np.random.default_rng(3)
+    bands = S.sliced_bands(512, 14)
+    far = np.packbits(rng.random((20000, 512)) < S.expected_distance(0.8, 512) / 512, axis=1)
+    missed = np.ones(len(far), bool)
+    for key in S._keys(far, bands):
+        missed &= key != 0
+    assert missed.mean() < 0.003

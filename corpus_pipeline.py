@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costledger.llm import decontam, line_dedup, packing, quality_rules, simhash, wordpiece
+from costledger.llm import decontam, line_dedup, packing, quality_rules, simhash, suffix_dedup, wordpiece
 from costledger.llm.text import SPACE
 from costledger.llm.workspace import Workspace
 
@@ -30,17 +30,34 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest doc_id.  Rows without an id stay,
-    and rows that repeat a kept id are the same document."""
-    gone = simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    # The ids that go grow with the corpus, so they are merged with the documents, not broadcast.
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group: that of the smallest doc_id.  Of rows that repeat an id
+    and text one stays.  An id of several texts, and null ids (before all others), are documents of their
+    own, ordered by the text's hash."""
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
+    if not odd:
+        gone = simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+        # The ids that go grow with the corpus, so they are merged with the documents, not broadcast.
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    work = Workspace(spark, "oddids")
+    once = work.table(docs.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th"), "once")
+    keyed = work.table(suffix_dedup.keyed(once.select("doc_id", "text"), work), "documents")
+    found = simhash.near_duplicates(keyed.select(F.col("doc").alias("doc_id"), "text"))
+    least = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("doc")).distinct()
+    gone = keyed.join(least.hint("merge"), "doc", "left_semi").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    return _without(once, gone)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the documents of ``gone`` (_id, _th): id, which may be null, and text hash."""
+    return docs.join(gone.hint("merge"), docs.doc_id.eqNullSafe(gone._id) & (F.xxhash64(docs.text) == gone._th), "left_anti").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than four fifths of each benchmark item's five-word shingles."""
-    leaks = decontam.containment(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold less than four fifths of each benchmark item's five-word shingles.  A document
+    is its id, which may be null, and text: of an id's texts only those go that hold an item."""
+    own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("doc_id"), "text")
+    leaks = decontam.containment(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return _without(docs, leaks.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.th").alias("_th")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -326,7 +326,7 @@ def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
     return equal.union(sorted_).union(large)
 
 
-def _keyed(docs: DataFrame, work: Workspace) -> DataFrame:
+def keyed(docs: DataFrame, work: Workspace) -> DataFrame:
     """``docs`` (doc_id, text) with a bigint ``doc`` that orders rows like doc_id.  Where an id is null
     or has several texts, that is the rank of (doc_id, text hash), which is computed for all rows."""
     odd = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("doc_id is null or a <> b").limit(1).count()
@@ -355,9 +355,9 @@ def dedupe_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     work = Workspace(docs.sparkSession, "suffix")
     text = F.coalesce(docs[text_col], F.lit("")).cast("binary")
-    keyed = _keyed(docs.select(docs[id_col].alias("doc_id"), text.alias("text")), work)
-    lists = repeated_spans(_once(keyed, work), work).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("list"))
-    both = keyed.join(lists.hint("merge"), "doc", "left").select("doc_id", "text", "list")
+    own = keyed(docs.select(docs[id_col].alias("doc_id"), text.alias("text")), work)
+    lists = repeated_spans(_once(own, work), work).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("list"))
+    both = own.join(lists.hint("merge"), "doc", "left").select("doc_id", "text", "list")
 
     def run(batches):
         for batch in batches:

@@ -33,3 +33,19 @@ def test_odd_tables(spark, tables):
     for docs in (documents(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, folder).count() <= docs.count() * 3
+
+
+def test_odd_ids(spark, tables):
+    rnd = random.Random(12)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(n))
+    item, copy, clean, other, lone = text(30), text(120), text(120), text(120), text(120)
+    folder = tables(benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = lambda *r: spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in r], kind)
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    leak = f"{text(40)} {item}"
+    found = corpus_pipeline.benchmark(spark, rows((None, leak), (None, clean), (3, leak), (3, other), (4, None), (None, None)), folder)
+    assert got(found) == sorted([(None, clean), (3, other), (4, None), (None, None)], key=repr)
+    found = corpus_pipeline.near_copies(spark, rows((None, copy), (None, copy), (None, copy + " more"), (3, copy), (3, other), (5, lone), (5, lone), (6, other)), folder)
+    kept = got(found)
+    assert len([t for d, t in kept if d is None]) == 1 and kept[:2] == [(3, other), (5, lone)] and len(kept) == 3

@@ -97,8 +97,7 @@ class Engine:
         folder = tables.store(spark)
         usage, stats = tables.written(usage.withColumn("repo_id", F.lit(repo)), folder, "parsed"), tables.written(stats, folder, "stats")
         usage = tables.written(cls._in_repo(usage, repo), folder, "usage")
-        commits = tables.written(gitlog.read(spark, repo, all_refs=all_refs), folder, "commits")
-        led = ledgers.build(usage, commits, cards, F.lit(repo), config.attribution, folder)
+        led = ledgers.build(usage, gitlog.read(spark, repo, all_refs=all_refs), cards, F.lit(repo), config.attribution, folder)
         unknown = rollup.unpriced_models(led.rows).orderBy("model").collect()
         warned = [*config.warnings, *warned, *[f"unknown model {json.dumps(r.model)}: {r.events} events, {r.tokens} tokens are not priced" for r in unknown]]
         return cls(spark, repo, led, stats, config, flags or Flags(), tuple(warned), origin)

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, AttributionConfig
-from .fill import nearest
-from .tables import written
+from .fill import ROLE, nearest
+from .tables import store, written
 
-RESULT = "kind string, hash string, confidence string, file_score double, time_score double, branch_score double, score double"
+NAMES = ["kind", "hash", "confidence", "file_score", "time_score", "branch_score", "score"]
+#: Time buckets that a window is cut into for the join on files.
+BUCKETS = 14
 
 
 def targets(commits: DataFrame) -> DataFrame:
@@ -39,19 +41,17 @@ def _score(file: Column, time: Column, branch: Column, cfg: AttributionConfig) -
 def file_candidates(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) -> DataFrame:
     """(repo_id, id, hash, ..., hits): commits in the window that share a file with an edit event.
 
-    An equi-join on repository, file and time bucket: buckets are as wide as the window's longer side,
-    and a commit is in its own and both neighbours, so a file that every commit touches still meets only
-    the events around each commit.
+    An equi-join on repository, file and time bucket.  A bucket is a fourteenth of the window, and a commit
+    is in each that its events can be in: a file that every commit touches is spread over many keys,
+    and an event meets little more than the commits that can take it.
     """
-    width = max(cfg.horizon_ms, cfg.grace_ms, 1)
-    bucket = lambda c: F.floor(F.col(c) / width)
-    left = edits.select("repo_id", "id", "ts_ms", "git_branch", F.size(F.array_distinct("rel_files")).alias("n_rel"), F.explode(F.array_distinct("rel_files")).alias("file"), bucket("ts_ms").alias("b"))
-    right = (
-        targets(commits)
-        .select("repo_id", "hash", "author_ts_ms", "branch_hint", F.explode(F.array_distinct("files")).alias("file"))
-        .withColumn("b", F.explode(F.array(bucket("author_ts_ms") - 1, bucket("author_ts_ms"), bucket("author_ts_ms") + 1)))
-    )
-    near = F.col("author_ts_ms").between(F.col("ts_ms") - cfg.grace_ms, F.col("ts_ms") + cfg.horizon_ms)
+    width = max(1, -(-(cfg.horizon_ms + cfg.grace_ms) // BUCKETS))
+    bucket = lambda c: F.floor(c / width)
+    left = edits.select("repo_id", "id", "ts_ms", "git_branch", F.size(F.array_distinct("rel_files")).alias("n_rel"), F.explode(F.array_distinct("rel_files")).alias("file"), bucket(F.col("ts_ms")).alias("b"))
+    at = F.col("author_ts_ms")
+    reach = F.sequence(bucket(at - cfg.horizon_ms), bucket(at + cfg.grace_ms))
+    right = targets(commits).select("repo_id", "hash", "author_ts_ms", "branch_hint", F.explode(F.array_distinct("files")).alias("file")).withColumn("b", F.explode(reach))
+    near = at.between(F.col("ts_ms") - cfg.grace_ms, F.col("ts_ms") + cfg.horizon_ms)
     pairs = left.join(right, ["repo_id", "file", "b"]).where(near)
     return pairs.groupBy("repo_id", "id", "ts_ms", "git_branch", "n_rel", "hash", "author_ts_ms", "branch_hint").agg(F.count("*").alias("hits"))
 
@@ -75,42 +75,45 @@ def file_match(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) ->
     return best.select("repo_id", "id", F.lit("commit").alias("kind"), "w.hash", confidence.alias("confidence"), "w.file_score", "w.time_score", "w.branch_score", "w.score", F.col("n").alias("candidates"))
 
 
-def next_commit(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) -> DataFrame:
-    """(repo_id, id) and the result by time alone: the first target at or after the event within the
-    horizon, on the event's own branch if there is one, else on any.  Rows without one are absent."""
+def _timed(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig, *carried: str) -> DataFrame:
+    """(repo_id, id, carried..., rank, r): the results by time alone, null where there is none: for each edit event a
+    row of rank 2 for any branch, and one of rank 1 for its own if it has one.
+
+    Both are looked up in one pass: a lane is a repository's commits, or those of one of its branches."""
     width = max(1, min(DAY_MS, cfg.horizon_ms))
-    found = edits.select("repo_id", "id", "ts_ms", "git_branch")
-    commit = targets(commits).select("repo_id", "author_ts_ms", "hash", "branch_hint")
-
-    def looked_up(events: DataFrame, marks: DataFrame, keys: list[str], out: str) -> DataFrame:
-        both = events.select(*keys, F.col("ts_ms").alias("t"), F.lit(1).alias("role"), F.lit(None).cast("string").alias("h"), "id", F.lit(None).cast("struct<ts:bigint,hash:string,hint:string>").alias("v")).unionByName(
-            marks.select(*keys, F.col("author_ts_ms").alias("t"), F.lit(0).alias("role"), F.col("hash").alias("h"), F.lit(None).cast("string").alias("id"), F.struct(F.col("author_ts_ms").alias("ts"), "hash", F.col("hint")).alias("v"))
-        )
-        # Descending, commits before events of the same time, the least hash nearest to the events.
-        order = [F.col("t").desc(), F.col("role").asc(), F.col("h").desc(), F.col("id").desc()]
-        got = nearest(both, keys, "t", order, "v", width).withColumnRenamed("later", "n").where("role = 1 and n is not null")
-        return got.where(F.col("n.ts") <= F.col("t") + cfg.horizon_ms).select("repo_id", "id", F.col("n").alias(out))
-
-    any_branch = looked_up(found, commit.withColumn("hint", F.col("branch_hint")), ["repo_id"], "any")
-    named = commit.where("branch_hint is not null").withColumn("hint", F.col("branch_hint")).withColumnRenamed("branch_hint", "git_branch")
-    own_branch = looked_up(found.where("git_branch is not null"), named, ["repo_id", "git_branch"], "own")
-    chosen = found.join(any_branch, ["repo_id", "id"]).join(own_branch, ["repo_id", "id"], "left").withColumn("n", F.coalesce("own", "any"))
-    time, branch = _time_score(F.col("n.ts"), F.col("ts_ms"), cfg), _branch_score(F.col("git_branch"), F.col("n.hint"))
-    return chosen.select(
-        "repo_id", "id", F.lit("commit").alias("kind"), "n.hash", F.lit("low").alias("confidence"), F.lit(0.0).alias("file_score"),
+    lane = lambda branch: F.explode(F.when(branch.isNotNull(), F.array(F.lit(None).cast("string"), branch)).otherwise(F.array(F.lit(None).cast("string")))).alias("lane")
+    rows = edits.select("repo_id", "id", *carried, F.col("ts_ms").alias("t"), "git_branch", F.lit(None).cast("string").alias("h"), lane(F.col("git_branch")))
+    mark = F.struct(F.col("author_ts_ms").alias("ts"), "hash", F.col("branch_hint").alias("hint"))
+    marks = targets(commits).select("repo_id", F.col("author_ts_ms").alias("t"), F.col("hash").alias("h"), mark.alias("n"), lane(F.col("branch_hint")))
+    # A commit of an event's time takes it; of several the least hash is the nearest.
+    found = nearest(rows, marks, ["repo_id", "lane"], ["t", ROLE, "h"], "n", width).withColumnRenamed("later", "n")
+    time, branch = _time_score(F.col("n.ts"), F.col("t"), cfg), _branch_score(F.col("git_branch"), F.col("n.hint"))
+    result = F.struct(
+        F.lit("commit").alias("kind"), F.col("n.hash").alias("hash"), F.lit("low").alias("confidence"), F.lit(0.0).alias("file_score"),
         time.alias("time_score"), branch.alias("branch_score"), _score(F.lit(0.0), time, branch, cfg).alias("score"),
     )
+    near = F.col("n.ts") <= F.col("t") + cfg.horizon_ms
+    return found.select("repo_id", "id", *carried, F.when(F.col("lane").isNull(), 2).otherwise(1).alias("rank"), F.when(near, result).alias("r"))
+
+
+def _first_result(ranked: DataFrame, *more: Column) -> DataFrame:
+    """(repo_id, id, r, ...): of each event's results that of least rank, null if it has none."""
+    return ranked.groupBy("repo_id", "id").agg(F.min_by("r", F.when(F.col("r").isNotNull(), F.col("rank"))).alias("r"), *more)
+
+
+def next_commit(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) -> DataFrame:
+    """(repo_id, id) and the result by time alone: the first target at or after the event within the
+    horizon, on the event's own branch if there is one, else on any.  Rows without one are absent."""
+    return _first_result(_timed(edits, commits, cfg)).where("r is not null").select("repo_id", "id", "r.*")
 
 
-def attribute_edits(events: DataFrame, commits: DataFrame, cfg: AttributionConfig) -> DataFrame:
-    """(repo_id, id) and the result for every edit event."""
+def attribute_edits(events: DataFrame, commits: DataFrame, cfg: AttributionConfig, *carried: str) -> DataFrame:
+    """(repo_id, id, carried...) and the result for every edit event."""
     edits = events.where(F.size("rel_files") > 0)
-    matched = file_match(edits, commits, cfg).drop("candidates")
-    rest = edits.join(matched.select("repo_id", "id"), ["repo_id", "id"], "left_anti")
-    timed = next_commit(rest, commits, cfg)
-    both = matched.unionByName(timed)
-    out = edits.select("repo_id", "id").join(both, ["repo_id", "id"], "left")
-    return out.withColumn("kind", F.coalesce("kind", F.lit("waste")))
+    matched = file_match(edits, commits, cfg).select("repo_id", "id", F.lit(0).alias("rank"), F.struct(*NAMES).alias("r"))
+    both = _timed(edits, commits, cfg, *carried).unionByName(matched, allowMissingColumns=True)
+    out = _first_result(both, *[F.max(c).alias(c) for c in carried])
+    return out.select("repo_id", "id", *carried, F.coalesce("r.kind", F.lit("waste")).alias("kind"), *[f"r.{n}" for n in NAMES[1:]])
 
 
 def attribute(events: DataFrame, commits: DataFrame, cfg: AttributionConfig | None = None, folder: str | None = None) -> DataFrame:
@@ -118,23 +121,19 @@ def attribute(events: DataFrame, commits: DataFrame, cfg: AttributionConfig | No
     repository) with the result, ``adopted_from``, ``provenance`` and ``in_progress``.
 
     A session's order is time, then id.  An event is in progress if it is waste and later than every
-    commit of its repository, merges included, or the repository has none.  With ``folder`` the results
-    of edit events are a table there.
+    commit of its repository, merges included, or the repository has none.  The results of edit events are
+    a table in ``folder``, or a new one of the shared folder; ``events`` is read several times and had
+    better be a table too.
     """
     cfg = cfg or AttributionConfig()
-    names = ["kind", "hash", "confidence", "file_score", "time_score", "branch_score", "score"]
-    done = attribute_edits(events, commits, cfg).select("repo_id", "id", F.struct(*names).alias("own"))
-    if folder:
-        done = written(done, folder, "edits")
-    rows = events.join(done, ["repo_id", "id"], "left").withColumn("v", F.when(F.col("own").isNotNull(), F.struct(F.col("own").alias("r"), F.col("id").alias("src"))))
-    keys = ["repo_id", "session_id"]
-    rows = nearest(rows, keys, "ts_ms", [F.col("ts_ms").desc(), F.col("id").desc()], "v", DAY_MS, [F.col("ts_ms").asc(), F.col("id").asc()])
-    pick = F.coalesce("later", "earlier")
+    own = written(attribute_edits(events, commits, cfg, "session_id", "ts_ms"), folder or store(events.sparkSession), "edits")
+    marks = own.select("repo_id", "session_id", "ts_ms", "id", F.struct(F.struct(*NAMES).alias("r"), F.col("id").alias("src")).alias("v"))
+    rows = nearest(events, marks, ["repo_id", "session_id"], ["ts_ms", "id", ROLE], "v", DAY_MS, before=True)
     newest = commits.groupBy("repo_id").agg(F.max("author_ts_ms").alias("newest_ts_ms"))
-    out = rows.withColumn("_p", pick).join(newest, "repo_id", "left")
+    out = rows.withColumn("_p", F.coalesce("later", "earlier")).join(newest, "repo_id", "left")
     kind = F.coalesce(F.col("_p.r.kind"), F.lit("overhead"))
-    result = [kind.alias("kind"), *[F.col(f"_p.r.{n}").alias(n) for n in names[1:]]]
-    adopted = F.when(F.col("own").isNull() & F.col("_p.r.score").isNotNull(), F.col("_p.src")).alias("adopted_from")
+    result = [kind.alias("kind"), *[F.col(f"_p.r.{n}").alias(n) for n in NAMES[1:]]]
+    adopted = F.when((F.col("_p.src") != F.col("id")) & F.col("_p.r.score").isNotNull(), F.col("_p.src")).alias("adopted_from")
     out = out.select(*events.columns, *result, adopted, "newest_ts_ms")
     advisory = (F.col("kind") == "overhead") | ((F.col("kind") == "commit") & (F.col("file_score") == 0.0))
     later = F.col("newest_ts_ms").isNull() | (F.col("ts_ms") > F.col("newest_ts_ms"))

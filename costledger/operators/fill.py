@@ -1,36 +1,43 @@
-"""Nearest values before and after a row, in two levels.
+"""Nearest marks before and after a row, in two levels.
 
 A window over a whole key would bring all its rows into one task.  Here the rows of a key are cut into
-time buckets: windows find the nearest values inside the bucket, and others, over one row per bucket,
-find the nearest bucket that has any.  For the next value the order is reversed, since ``last`` over
-the rows so far is linear and ``first`` over those to come is not.
+time buckets: windows over rows and marks find the nearest marks inside the bucket, and others, over
+one row per bucket, find the nearest bucket that has any.  That one row is a partial aggregate of the
+marks alone, so the rows are shuffled once and never joined with themselves.  For the next mark the
+order is reversed, since ``last`` over the rows so far is linear and ``first`` over those to come is not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The column of ``order`` that tells marks (1) from rows (0).
+ROLE = "_role"
 
-def nearest(df: DataFrame, keys: list[str], ts: str, down: list[Column], value: str, width_ms: int, up: list[Column] | None = None) -> DataFrame:
-    """Adds ``later``, the nearest non-null ``value`` at or after each row, and with ``up`` also
-    ``earlier``, that at or before it.
 
-    ``down`` is a total descending order that begins with the timestamp, ``up`` its reverse.  Null keys
-    are keys like any other.
+def nearest(rows: DataFrame, marks: DataFrame, keys: list[str], order: list[str], value: str, width_ms: int, before: bool = False) -> DataFrame:
+    """Adds ``later`` to ``rows``: the ``value`` of the nearest of ``marks`` (keys, order, value) at or
+    after each row, and with ``before`` also ``earlier``, that at or before it.
+
+    ``order`` names the columns of a total ascending order; the first is the timestamp, and ``ROLE``
+    among them says whether a mark of equal place comes after a row or before.  Null keys are keys like
+    any other, and null values are skipped.  ``value`` is no column of ``rows``.
     """
-    sides = [("later", down, F.col("_b").desc())] + ([("earlier", up, F.col("_b").asc())] if up else [])
-    so_far = (Window.unboundedPreceding, 0)
-    rows = df.withColumn("_b", F.floor(F.col(ts) / width_ms))
-    rows = rows.withColumns({f"_{n}": F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(*so_far)) for n, order, _ in sides})
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*down)))
-    # Seen from other buckets, a bucket's next value is its first in time, and its previous one its last.
-    ends = {"later": F.max_by("_later", "_n"), "earlier": F.min_by("_earlier", "_n") if up else None}
-    per = rows.groupBy(*keys, "_b").agg(*[ends[n].alias(f"_e_{n}") for n, _, _ in sides])
-    across = [F.last(f"_e_{n}", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)).alias(f"_o_{n}") for n, _, o in sides]
-    beyond = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), *across)
-    same = F.col("_b") == F.col("_kb")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = rows.join(beyond, on=same, how="left")
-    return joined.select(*df.columns, *[F.coalesce(f"_{n}", f"_o_{n}").alias(n) for n, _, _ in sides])
+    names = [n for n in order if n != ROLE]
+    # Inside a struct nulls are equal, so plain equality serves windows, aggregates and the join alike.
+    bucket = F.struct(*keys, F.floor(F.col(order[0]) / width_ms).alias("_b")).alias("_k")
+    held = rows.select("*", F.lit(0).alias(ROLE), bucket).unionByName(marks.select(*keys, *names, value, F.lit(1).alias(ROLE), bucket), allowMissingColumns=True)
+    so_far, inside = (Window.unboundedPreceding, 0), Window.partitionBy("_k")
+    sides = {"later": [F.col(c).desc() for c in order], "earlier": [F.col(c).asc() for c in order]}
+    sides = {n: o for n, o in sides.items() if n == "later" or before}
+    held = held.withColumns({f"_{n}": F.last(value, ignorenulls=True).over(inside.orderBy(*o).rowsBetween(*so_far)) for n, o in sides.items()}).where(f"{ROLE} = 0")
+    # Seen from other buckets, a bucket's next mark is its first in time, and its previous one its last.
+    place = F.when(F.col(value).isNotNull(), F.struct(*names))
+    brief = rows.select(bucket).distinct().unionByName(marks.select(bucket, F.col(value), place.alias("_p")), allowMissingColumns=True)
+    ends = {"later": F.min_by(value, "_p"), "earlier": F.max_by(value, "_p")}
+    per = brief.groupBy("_k").agg(*[ends[n].alias(f"_e_{n}") for n in sides])
+    along = Window.partitionBy(*[F.col("_k")[k] for k in keys])
+    way = {"later": F.col("_k")["_b"].desc(), "earlier": F.col("_k")["_b"].asc()}
+    beyond = per.select(F.col("_k"), *[F.last(f"_e_{n}", ignorenulls=True).over(along.orderBy(way[n]).rowsBetween(Window.unboundedPreceding, -1)).alias(f"_o_{n}") for n in sides])
+    return held.join(beyond, "_k", "left").select(*rows.columns, *[F.coalesce(f"_{n}", f"_o_{n}").alias(n) for n in sides])

@@ -51,8 +51,10 @@ def raw_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         branch.alias("git_branch"), files.alias("rel_files"), (e % 10 == 0).alias("is_sidechain"),
         F.lit("a.jsonl").alias("source_file"), e.alias("line_no"), F.lit(0).alias("sub_no"),
     )
-    again = rows.where(F.col("line_no") % 50 == 0).withColumn("input", F.col("input") + 1).withColumn("source_file", F.lit("b.jsonl"))
-    return rows.unionByName(again)
+    # Some rows come twice, as a session that was resumed writes them again.
+    again = F.explode(F.when(F.col("line_no") % 50 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    twice = rows.withColumn("_again", again)
+    return twice.withColumn("input", F.when(F.col("_again"), F.col("input") + 1).otherwise(F.col("input"))).withColumn("source_file", F.when(F.col("_again"), "b.jsonl").otherwise("a.jsonl")).drop("_again")
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:

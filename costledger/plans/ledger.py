@@ -31,16 +31,15 @@ class Ledger:
 
 def build(usage: DataFrame, commits: DataFrame, price_table: DataFrame, root, cfg: AttributionConfig | None = None, folder: str | None = None) -> Ledger:
     """``usage`` are raw rows (repo_id, id, ..., cwd, rel_files), ``root`` a column with the repository's
-    folder.  Without ``folder`` everything is lazy; with it the events and the ledger are tables there."""
+    folder.  Events, commits, edit events' results and the ledger are written once, as tables in
+    ``folder`` or a new one of the shared folder; every report starts from them."""
+    folder = folder or tables.store(usage.sparkSession)
     inside, tally = events.split_scope(usage, root)
-    kept = events.last_wins(inside)
     cards = pricing.cards(price_table)
-    if folder:
-        kept = tables.written(kept, folder, "events")
+    kept = tables.written(events.last_wins(inside), folder, "events")
+    commits = tables.written(commits, folder, "commits")
     rows = pricing.price(attribution.attribute(kept, commits, cfg, folder), cards).withColumn("total", events.total_tokens())
-    if folder:
-        rows = tables.written(rows, folder, "ledger")
-    return Ledger(usage.sparkSession, rows, kept, tally, commits, cards)
+    return Ledger(usage.sparkSession, tables.written(rows, folder, "ledger"), kept, tally, commits, cards)
 
 
 def demo(spark: SparkSession, sf_dir: str, cfg: AttributionConfig | None = None) -> Ledger:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DAY_MS, AttributionConfig
 from ..functions.money import CLASSES, cents_half_even
-from ..operators import attribution, events, pricing, rollup
+from ..operators import attribution, events, pricing, rollup, tables
 from . import demo, reports
 from .ledger import Ledger
 from .ledger import demo as demo_ledger
@@ -128,9 +128,14 @@ def attrib_edit(spark, sf_dir):
     return _result(attribution.attribute_edits(_usage(spark, sf_dir), demo.commits(spark, sf_dir), SIX_HOURS))
 
 
+def _attributed(spark, sf_dir, cfg) -> DataFrame:
+    folder = tables.store(spark)
+    kept, commits = tables.written(_usage(spark, sf_dir), folder, "events"), tables.written(demo.commits(spark, sf_dir), folder, "commits")
+    return attribution.attribute(kept, commits, cfg, folder)
+
+
 def _full(spark, sf_dir, cfg):
-    out = attribution.attribute(_usage(spark, sf_dir), demo.commits(spark, sf_dir), cfg)
-    return out.select("repo_id", "id", "kind", "hash", "confidence", *[nano9(s) for s in SCORES], "adopted_from", "provenance", "in_progress")
+    return _attributed(spark, sf_dir, cfg).select("repo_id", "id", "kind", "hash", "confidence", *[nano9(s) for s in SCORES], "adopted_from", "provenance", "in_progress")
 
 
 @query(f"SELECT {_RESULT}, adopted_from, provenance, in_progress FROM attributed", EDITS)
@@ -150,7 +155,7 @@ def confidence(spark, sf_dir):
 
 @query("SELECT repo_id, id, ts_ms FROM attributed WHERE in_progress", EDITS6)
 def in_progress(spark, sf_dir):
-    return attribution.attribute(_usage(spark, sf_dir), demo.commits(spark, sf_dir), SIX_HOURS).where("in_progress").select("repo_id", "id", "ts_ms")
+    return _attributed(spark, sf_dir, SIX_HOURS).where("in_progress").select("repo_id", "id", "ts_ms")
 
 
 # --- prices -----------------------------------------------------------------------------------------

@@ -8,13 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def store(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.  Where that is unset, a temporary folder in local mode; on
+    a cluster, whose machines share no temporary folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir is not set; executors of {master or 'this cluster'} need a folder that they share")
         found = "file://" + tempfile.mkdtemp(prefix="costledger-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def store(spark: SparkSession) -> str:
+    """A new folder under the shared one."""
+    return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -462,14 +462,28 @@ def _tiles(reps: DataFrame, bands: list[list[tuple[int, int]]], work: Workspace)
     return _tiled(rows, large)
 
 
+def _of_one_id(sigs: DataFrame, reps: DataFrame, work: Workspace) -> DataFrame | None:
+    """Links (a, b) between the signatures of documents that have several; None if there is no such one."""
+    h = F.xxhash64("sig")
+    several = work.table(sigs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("x"), F.max(h).alias("y")).where("x <> y").select("doc_id"), "several")
+    if not several.limit(1).count():
+        return None
+    own = sigs.join(several.hint("merge"), "doc_id").select("doc_id", "sig").distinct()
+    return own.join(reps.hint("merge"), "sig").select(F.col("doc_id").cast("bigint").alias("a"), F.col("node").cast("bigint").alias("b"))
+
+
 def groups(sigs: DataFrame, radius: int, bands: list[list[tuple[int, int]]], work: Workspace) -> DataFrame:
     """(sig, component): the smallest doc_id reachable over links of at most ``radius`` bits.
 
     ``sigs`` (doc_id, sig).  Rows without a doc_id link nothing; their signature's component is null
-    unless a row with an id has the same signature.  Rows that repeat a doc_id are one document.
+    unless a row with an id has the same signature.  Rows that repeat a doc_id are one document, which
+    links its signatures.
     """
     reps = work.table(sigs.groupBy("sig").agg(F.min("doc_id").alias("node")), "reps")
     edges = _sorted_tiles(_tiles(reps, bands, work)).mapInArrow(_by_tile(_links(radius)), "a bigint, b bigint")
+    same = _of_one_id(sigs, reps, work)
+    if same is not None:
+        edges = edges.union(same)
     found = connected_components(edges, work)
     return reps.join(found, reps.node == found.node, "left").select(reps.sig, F.coalesce(found.component, reps.node).alias("component"))
 
@@ -488,14 +502,15 @@ def simhash_components(docs: DataFrame, n_words: int = 4, radius: int = 4, words
 
     Exact: all fingerprints within ``radius`` bits are linked, whatever their number.  A null, empty
     or blank text has fingerprint zero and is linked like any other; ties and repeated rows share a
-    fingerprint; further columns are ignored; an empty table gives an empty result.
+    fingerprint; rows of one id are one document, whatever their texts, and so share its component;
+    further columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "simhash")
     sigs = work.table(signatures(docs, n_words, words), "sigs")
     n = sigs.agg(F.approx_count_distinct("sig")).first()[0]
     found = work.table(groups(sigs, radius, exact_bands(64 * words, radius, blocks_for(n, 64 * words, radius)), work), "found")
-    work.drop("reps", "large")
+    work.drop("reps", "large", "several")
     return sigs.join(found, "sig").select("doc_id", F.lower(F.hex("sig")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -556,7 +571,11 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
     0.999, at 0.85 with 0.9999.
     The signature is that of the shingle set.  Equal sets are one row; every other link, also one of
     equal signatures, is compared by the shingles: first with ``LINKS`` rows for each document and
-    tile, then, in tiles that hold more, with all rows of other components.  Edge cases as in ``simhash_components``; texts without words form one group.
+    tile, then, in tiles that hold more, with all rows of other components.
+
+    ``docs`` (doc_id, text, ...): ids do not repeat (the pipeline keys rows that do); a null id links
+    nothing.  Null, empty and blank texts form one group.  Further columns are ignored; an empty table
+    gives an empty result.
     """
     work = Workspace(docs.sparkSession, "nearcopies")
     sigs = work.table(set_signatures(docs, n_words, words), "sigs")

@@ -29,6 +29,16 @@ def brute(rows):
     return sorted((d, f"{f:016x}", label[f]) for d, f in fp)
 
 
+def brute_by_id(rows):
+    """Components of ids: equal ids, and fingerprints within the radius, are links."""
+    fp = [(d, plain(t)) for d, t in rows]
+    label = {d: d for d, _ in fp}
+    for _ in fp:
+        for d, f in fp:
+            label[d] = min(label[e] for e, g in fp if e == d or (f ^ g).bit_count() <= 4)
+    return sorted((d, f"{f:016x}", label[d]) for d, f in fp)
+
+
 def corpus():
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(50)] + ["Ünï", "AB", "x" * 300]
@@ -138,3 +148,40 @@ def test_bands_miss_little():
     for key in S._keys(far, bands):
         missed &= key != 0
     assert missed.mean() < 0.003
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    words = lambda s: " ".join(f"{s}{k}" for k in range(60))
+    cases = [[(5, words("a")), (3, words("b")), (5, words("b"))], [(9, "x"), (9, "y"), (4, "y"), (4, "z"), (2, "z"), (7, "w"), (9, "x")]]
+    rnd = random.Random(14)
+    cases.append([(rnd.randint(1, 40), words(rnd.randint(1, 60))) for _ in range(60)])
+    for rows in cases:
+        got = sorted(tuple(r) for r in S.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == brute_by_id(rows)
+
+
+def test_recall_of_pairs(spark):
+    """Of all pairs at 0.8 or more among the test tables' documents."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets, by = {}, {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        for s in sets[d]:
+            by.setdefault(s, []).append(d)
+    met = {(a, b) for ids in by.values() for a in ids for b in ids if a < b}
+    pairs = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print(f"{found} of {len(pairs)} pairs")
+    assert len(pairs) > 30 and found >= 0.9 * len(pairs)
+    assert all(root(d) == root(c) for d, c in got.items())

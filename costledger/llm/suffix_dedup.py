@@ -7,7 +7,9 @@ fragments, one per run of windows that share a minimizer occurrence, and equal w
 fragments of one minimizer.
 
 1. Fragments whose minimizer occurs once are left out; nothing else in the corpus can match them.
-2. Equal fragments: all but the first go as a whole.
+2. Equal fragments: all but the first go as a whole.  Equality is that of minimizer and 128-bit hash:
+   among N different fragments two are taken for one with a probability below N * N / 2^129, 2e-11 for
+   10^14 (about a hundred petabytes of text).
 3. First fragments of a minimizer with several different ones: each is trimmed to the bytes it may
    share with a neighbour in sorted order, on either side of the minimizer; what is then equal is
    settled as in 2; the others of the group are concatenated, and the suffix array (``suffix_array``)
@@ -92,7 +94,7 @@ def _unpack(pos):
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """(h, f, doc, pos): a row per fragment; f is the hash of its bytes."""
+    """(h, f, g, doc, pos): a row per fragment; f and g are the 128-bit hash of its bytes."""
 
     def run(batches):
         for batch in batches:
@@ -102,15 +104,16 @@ def _runs(docs: DataFrame) -> DataFrame:
                 for h, first, count, reach in fragments(text) if len(text) >= LENGTH else ():
                     hs.append(h)
                     ends = (first + count + (LENGTH - 1)).tolist()
-                    fs.append(np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), ends)), np.uint64, len(h)))
+                    fs.append(np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(first.tolist(), ends)]), np.int64).reshape(-1, 2))
                     ds.append(np.full(len(h), doc, np.int64))
                     ps.append(_pack(first, count, reach))
             if hs:
-                cols = [np.concatenate(hs).view(np.int64), np.concatenate(fs).view(np.int64), np.concatenate(ds), np.concatenate(ps)]
+                f, g = np.ascontiguousarray(np.concatenate(fs).T)
+                cols = [np.concatenate(hs).view(np.int64), f, g, np.concatenate(ds), np.concatenate(ps)]
                 for a in range(0, len(cols[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in cols], ["h", "f", "doc", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 16)]) for c in cols], ["h", "f", "g", "doc", "pos"])
 
-    return docs.select("doc", "text").mapInArrow(run, "h bigint, f bigint, doc bigint, pos bigint")
+    return docs.select("doc", "text").mapInArrow(run, "h bigint, f bigint, g bigint, doc bigint, pos bigint")
 
 
 def _cut(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -271,9 +274,9 @@ def _halves(cut: DataFrame) -> DataFrame:
 
 def _large_groups(cut: DataFrame, work: Workspace) -> DataFrame:
     """(doc, start, end) from groups that do not fit a task, by halves and then by single windows."""
-    halves = work.table(_halves(cut).withColumn("f", F.xxhash64("bytes")), "halves")
-    kinds = work.table(halves.groupBy("h", "f").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "half-kinds")
-    both = work.table(halves.join(kinds.hint("merge"), ["h", "f"]).withColumn("is_first", F.struct("doc", "pos") == F.col("first")).drop("first", "f"), "half-rows")
+    halves = work.table(_halves(cut).withColumns({"f": F.xxhash64("bytes"), "g": F.xxhash64(F.lit("second"), "bytes")}), "halves")
+    kinds = work.table(halves.groupBy("h", "f", "g").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "half-kinds")
+    both = work.table(halves.join(kinds.hint("merge"), ["h", "f", "g"]).withColumn("is_first", F.struct("doc", "pos") == F.col("first")).drop("first", "f", "g"), "half-rows")
     equal = both.where("not is_first").select("doc", *_span())
     mixed = work.table(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "half-mixed")
     rest = work.table(both.where("is_first").join(mixed.hint("merge"), "h").select("h", "doc", "pos", "bytes", "kinds"), "half-cut")
@@ -313,9 +316,9 @@ def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
     often = work.table(_runs(docs).groupBy("h").count().where("count > 1").select("h"), "minimizers")
     runs = work.table(_runs(docs).join(often.hint("merge"), "h"), "runs")
     work.drop("minimizers")
-    kinds = work.table(runs.groupBy("h", "f").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "kinds")
+    kinds = work.table(runs.groupBy("h", "f", "g").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "kinds")
     mixed = work.table(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
-    equal = work.table(runs.join(kinds.where("n > 1").select("h", "f", "first").hint("merge"), ["h", "f"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", *_span()), "equal")
+    equal = work.table(runs.join(kinds.where("n > 1").select("h", "f", "g", "first").hint("merge"), ["h", "f", "g"]).where(F.struct("doc", "pos") != F.col("first")).select("doc", *_span()), "equal")
     work.drop("runs")
     wanted = kinds.join(mixed.hint("merge"), "h").select("h", "first.doc", "first.pos", "kinds")
     cut = work.table(_cut(wanted.select("h", "doc", "pos"), docs).join(mixed.hint("merge"), "h"), "cut")
@@ -328,13 +331,13 @@ def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
 
 def keyed(docs: DataFrame, work: Workspace) -> DataFrame:
     """``docs`` (doc_id, text) with a bigint ``doc`` that orders rows like doc_id.  Where an id is null
-    or has several texts, that is the rank of (doc_id, text hash), which is computed for all rows."""
+    or has several texts, that is a number in the order of (doc_id, text hash), for all rows."""
     odd = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b")).where("doc_id is null or a <> b").limit(1).count()
     if not odd and dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         return docs.withColumn("doc", F.col("doc_id").cast("bigint"))
-    keys = docs.select("doc_id", F.xxhash64("text").alias("th")).distinct().orderBy("doc_id", "th").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ranks = work.table(docs.sparkSession.createDataFrame(keys, f"doc_id {kind}, th bigint, doc bigint"), "ranks").withColumnRenamed("doc_id", "_id")
+    # Behind a global sort these numbers ascend with the order, over partitions and inside them.
+    keys = docs.select("doc_id", F.xxhash64("text").alias("th")).distinct().orderBy("doc_id", "th").withColumn("doc", F.monotonically_increasing_id())
+    ranks = work.table(keys, "ranks").withColumnRenamed("doc_id", "_id")
     both = docs.withColumn("_th", F.xxhash64("text"))
     return work.table(both.join(ranks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("th"))).select("doc_id", "text", "doc"), "keyed")
 
@@ -351,7 +354,8 @@ def dedupe_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``spans`` are the maximal removed runs, ascending; ``kept`` is what is left.  Null texts count as
     empty.  Rows that repeat an id and text are one document; an id of several texts, and null ids
-    (before all others), are ordered by the text's hash.  Further columns are ignored.
+    (before all others), are ordered by the text's hash.  Texts may be of any length.  Further columns
+    are ignored; an empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "suffix")
     text = F.coalesce(docs[text_col], F.lit("")).cast("binary")

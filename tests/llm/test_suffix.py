@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from costledger.llm import suffix_dedup as S
 from costledger.llm.suffix_array import suffix_array
 
@@ -49,6 +51,7 @@ def test_against_all_windows(spark, monkeypatch):
     rows = corpus()
     want = sorted(brute([(d, (t or "").encode()) for d, t in rows]), key=repr)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    df = df.withColumn("doc", F.lit("clash")).withColumn("h", F.lit(1)).withColumn("list", F.lit(2))
     assert digest(S.dedupe_bytes(df)) == want
     monkeypatch.setattr(S, "GROUP", 2)
     assert digest(S.dedupe_bytes(df)) == want

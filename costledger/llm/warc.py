@@ -15,6 +15,7 @@ import hashlib
 import posixpath
 import re
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,7 +33,10 @@ MAX_ARCHIVE = 256 << 20
 #: bytes of an archive that one reading task gets.
 GAP, MAX_READ, SLAB = 64 << 10, 8 << 20, 32 << 20
 
-INDEX = "page_id {kind}, url string, archive string, offset bigint, length bigint, digest string, record_type string, refers_to {kind}"
+#: Tasks that read archives, at most; with more slabs than that a task gets several.
+MAX_TASKS = 100_000
+
+INDEX = "page_id string, url string, archive string, offset bigint, length bigint, digest string, record_type string, refers_to string"
 
 
 def _header(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
@@ -45,11 +49,15 @@ def _uri(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
 
 
-def _urn(page_id) -> str:
-    return f"<urn:page:{page_id if page_id is not None else ''}>"
+def _urn(page_id: str | None) -> str:
+    return "<urn:nopage>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def _page(urn: str | None) -> str | None:
+    return unquote(urn[len("<urn:page:") : -1]) if urn and urn.startswith("<urn:page:") else None
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     """One record; a revisit has the HTTP header of the full payload and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = [("WARC-Record-ID", _urn(page_id)), ("WARC-Date", date), ("WARC-Target-URI", _uri(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
@@ -65,7 +73,8 @@ def _gzip(data: bytes) -> bytes:
 
 
 def write_archives(pages: DataFrame, work: Workspace, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """``pages`` (page_id, url, html, ...) -> the index, as a written table.
+    """``pages`` (page_id, url, html, ...) -> the index, as a written table.  Ids may be of any type that
+    a cast to text and back preserves.
 
     Null html is an empty payload, a null url about:blank.  Of equal payloads of at least
     ``LEAST_REVISIT`` bytes that of the smallest page_id is the response; rows that repeat that id and
@@ -78,7 +87,8 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "2026-01-01T00
     # The repeated digests grow with the pages, so neither side is broadcast; a digest that many
     # pages share is split between tasks by the adaptive skew join.
     repeated = work.table(sizes, "repeated")
-    marked = rows.join(repeated.hint("merge"), "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id").eqNullSafe(F.col("least")), F.lit(None)).otherwise(F.col("least")).alias("refers_to"))
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least").cast("string")).alias("refers_to")
+    marked = rows.join(repeated.hint("merge"), "digest", "left").select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), "payload", "digest", refers_to)
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -102,14 +112,15 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "2026-01-01T00
                     out.write(data)
                     index.append((page_id, url, name, at, len(data), digest, "response" if refers_to is None else "revisit", refers_to))
                     at += len(data)
-                types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), batch.schema.field(4).type]
+                types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 cols = list(zip(*index)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["page_id", "url", "archive", "offset", "length", "digest", "record_type", "refers_to"])
         finally:
             if out is not None:
                 out.close()
 
-    return work.table(marked.mapInArrow(run, INDEX.format(kind=kind)), "index")
+    index = marked.mapInArrow(run, INDEX)
+    return work.table(index.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")}), "index")
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -140,16 +151,19 @@ def _ranges(rows):
 
 def read_records(index: DataFrame, work: Workspace) -> DataFrame:
     """Reads the index's records back: (page_id, url, payload, payload_bytes, payload_digest,
-    record_type, refers_to).  A response's digest is computed from its payload and must be the one in
-    its header; a revisit's payload is null, its size and digest are those of the full payload."""
+    record_type, refers_to), a row per index row; further columns of the index are ignored, and an empty
+    index gives an empty result.  A response's digest is computed from its payload and must be the one in
+    its header; a revisit's payload is null, its size and digest are those of the full payload.  Null ids
+    come back null, empty and null html as an empty payload, very long ones whole."""
     folder = work.path("archives")
     kind = index.schema["page_id"].dataType.simpleString()
     chosen = index.select("archive", F.floor(F.col("offset") / SLAB).alias("slab"), "offset", "length")
-    ordered = chosen.repartition("archive", "slab").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    # An index row is far smaller than its record, so the tasks are counted by slabs of the archives.
+    slabs = chosen.select("archive", "slab").distinct().count()
+    ordered = chosen.repartition(min(max(slabs, 1), MAX_TASKS), "archive", "slab").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
-        number = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
 
         def rows():
             for batch in batches:
@@ -171,19 +185,20 @@ def read_records(index: DataFrame, work: Workspace) -> DataFrame:
                 whole = fields["warc-type"] == "response"
                 if whole and (len(payload) != size or hashlib.sha256(payload).hexdigest() != told):
                     raise ValueError(f"{archive} at {offset}: the payload is not the one that was written")
-                out.append((number(fields["warc-record-id"]), fields["warc-target-uri"], payload if whole else None, size, told, fields["warc-type"], number(fields.get("warc-refers-to"))))
-            types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                out.append((_page(fields["warc-record-id"]), fields["warc-target-uri"], payload if whole else None, size, told, fields["warc-type"], _page(fields.get("warc-refers-to"))))
+            types = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if source is not None:
             source.close()
 
-    schema = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    schema = "page_id string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
     found = ordered.mapInArrow(run, schema)
     return found.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the archives of ``pages`` and reads every record back through the index."""
+    """Writes the archives of ``pages`` (page_id, url, html, ...) and reads every record back through the
+    index: the columns and edge cases of ``read_records``, a row per page."""
     work = Workspace(pages.sparkSession, "warc")
     return read_records(write_archives(pages, work), work)
 

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from costledger.llm import warc
 from costledger.llm.queries import oracle_sql, queries
 from costledger.llm.workspace import Workspace
@@ -43,3 +45,21 @@ def test_ranges(monkeypatch):
     monkeypatch.setattr(warc, "MAX_READ", 100)
     rows = [("a", 0, 20), ("a", 25, 10), ("a", 90, 5), ("b", 0, 500), ("b", 500, 10)]
     assert [(r[0], r[1], r[2], len(r[3])) for r in warc._ranges(rows)] == [("a", 0, 35, 2), ("a", 90, 95, 1), ("b", 0, 500, 1), ("b", 500, 510, 1)]
+
+
+def test_ids_of_any_type(spark):
+    big = "y" * 150
+    rows = [("b/%>", "u", big), ("a ä\r\n", "u", big), ("", "u", "z"), (None, "u", None), ("long", "u", "q" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").withColumn("archive", F.lit("clash")).withColumn("payload", F.lit(1))
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(df).collect()}
+    assert got == {"b/%>": ("revisit", "a ä\r\n", 150), "a ä\r\n": ("response", None, 150), "": ("response", None, 1), None: ("response", None, 0), "long": ("response", None, 3_000_000)}
+
+
+def test_reading_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLAB", 4096)
+    df = spark.createDataFrame([(i, "u", f"{i} " * 400) for i in range(400)], "page_id long, url string, html string").repartition(2)
+    work = Workspace(spark, "warc-spread")
+    index = warc.write_archives(df, work)
+    found = warc.read_records(index, work)
+    assert found.rdd.getNumPartitions() == index.selectExpr("archive", "floor(offset / 4096)").distinct().count() > 4
+    assert {r.page_id: len(r.payload) for r in found.collect()} == {i: len(f"{i} " * 400) for i in range(400)}

@@ -54,11 +54,23 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
     return found[::-1]
 
 
+def _before(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (bucket, _hash, _part, _c) -> with ``_before``, the pieces of a bucket's earlier shards.
+
+    Sums inside runs of ``SHARD`` shards, and over one row per run."""
+    run = F.floor(F.col("_hash") / SHARD).alias("_run")
+    inside = F.sum("_c").over(Window.partitionBy("bucket", "_run").orderBy("_hash", "_part")) - F.col("_c")
+    rows = sizes.select("*", run).withColumn("_inside", inside)
+    runs = sizes.select("bucket", run, "_c").groupBy("bucket", "_run").agg(F.sum("_c").alias("_r"))
+    runs = runs.select("bucket", "_run", (F.sum("_r").over(Window.partitionBy("bucket").orderBy("_run")) - F.col("_r")).alias("_earlier"))
+    return rows.join(runs, ["bucket", "_run"]).select("bucket", "_hash", "_part", (F.col("_inside") + F.col("_earlier")).alias("_before"))
+
+
 def pack(lengths: DataFrame, buckets: int = 8, max_len: int = 2048, token_budget: int = 65536, id_col: str = "doc_id", n_col: str = "n_tokens") -> DataFrame:
     """``lengths`` (id, n_tokens) -> (id, piece, n_tokens, bucket, padded_len, batch_id, slot).
 
     Every row gives ceil(n_tokens / max_len) pieces, and one of length zero if it has no tokens; null
-    lengths count as zero.  A batch is (bucket, batch_id), holds at most max(1, token_budget //
+    lengths count as zero, negative ones too.  A batch is (bucket, batch_id), holds at most max(1, token_budget //
     padded_len) pieces, and only the last one of a bucket is short.  Ids may be null or repeat: each
     row is packed by itself.  An empty table gives an empty result.
     """
@@ -66,20 +78,26 @@ def pack(lengths: DataFrame, buckets: int = 8, max_len: int = 2048, token_budget
     n = F.greatest(F.coalesce(F.col(n_col), F.lit(0)), F.lit(0)).cast("long")
     last = F.greatest(F.ceil(n / max_len).cast("int") - 1, F.lit(0))
     pieces = work.table(
-        lengths.select(F.col(id_col).alias(id_col), n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(id_col, "piece", F.least(F.col("_n") - F.col("piece").cast("long") * max_len, F.lit(max_len)).cast("long").alias("n_tokens")),
+        lengths.select(F.col(id_col).alias(id_col), n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(id_col, "piece", F.monotonically_increasing_id().alias("_salt"), F.least(F.col("_n") - F.col("piece").cast("long") * max_len, F.lit(max_len)).cast("long").alias("n_tokens")),
         "pieces",
     )
     seen = [(r.n_tokens, r["count"]) for r in pieces.groupBy("n_tokens").count().collect()]
     edges = best_boundaries([a for a, _ in seen], [c for _, c in seen], buckets) or [max_len]
     shards = max(1, -(-sum(c for _, c in seen) // SHARD))
     bucket = sum((F.when(F.col("n_tokens") > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("int")
-    placed = pieces.withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64(id_col, "piece"), F.lit(shards)).cast("int"))
-    sizes = placed.groupBy("bucket", "_shard").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_before", F.sum("_c").over(Window.partitionBy("bucket").orderBy("_shard")) - F.col("_c")).drop("_c")
-    own = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy(id_col, "piece", "n_tokens")) - 1)
+    placed = pieces.withColumn("bucket", bucket).withColumn("_hash", F.pmod(F.xxhash64(id_col, "piece"), F.lit(shards)).cast("int"))
+    # Ids that are null or repeat fall in one shard; one of several times the wanted size is cut by the
+    # salt that was written with the pieces.
+    full = placed.groupBy("bucket", "_hash").agg(F.count("*").alias("_c")).where(F.col("_c") > 4 * SHARD).select("bucket", "_hash", F.ceil(F.col("_c") / SHARD).cast("int").alias("_parts"))
+    full = work.table(full, "full")
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.col("_salt"), F.col("_parts"))).cast("int")
+    placed = placed.join(full, ["bucket", "_hash"], "left").select(id_col, "piece", "n_tokens", "bucket", "_hash", part.alias("_part"))
+    sizes = placed.groupBy("bucket", "_hash", "_part").agg(F.count("*").alias("_c"))
+    before = _before(sizes).withColumnsRenamed({"bucket": "_bk", "_hash": "_hk", "_part": "_pk"})
+    own = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket", "_hash", "_part").orderBy(id_col, "piece", "n_tokens")) - 1)
     padded = F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("bucket") + 1)
     per = F.greatest(F.floor(F.lit(token_budget) / F.greatest(padded, F.lit(1))), F.lit(1)).cast("long")
     rank = F.col("_rank") + F.col("_before")
-    return own.join(before, ["bucket", "_shard"]).select(
+    return own.join(before, (own.bucket == before._bk) & (own._hash == before._hk) & (own._part == before._pk)).select(
         id_col, "piece", "n_tokens", "bucket", padded.alias("padded_len"), F.floor(rank / per).cast("long").alias("batch_id"), (rank % per).cast("int").alias("slot")
     )

@@ -103,6 +103,33 @@ def probabilities(net: Network, pairs: list[np.ndarray], texts: list[bytes]) ->
     return out
 
 
+def gradients(net: Network, texts: list[bytes], y: np.ndarray, decay: float = 0.0) -> list[np.ndarray]:
+    """Of the mean cross-entropy and half of ``decay`` times the squares of taps and output weights, by
+    taps, bias, out and base.  A maximum passes its gradient to the position, or chunk, that has it."""
+    pairs = net.pairs()
+    data, real, first = layout(texts)
+    best, where = [], []
+    for a in range(0, first[-1], BLOCK):
+        r = responses(data, real, pairs, a, min(a + BLOCK, first[-1]))
+        w = r.argmax(1)
+        best.append(np.take_along_axis(r, w[:, None, :], 1)[:, 0])
+        where.append(w + (np.arange(a, a + len(r)) * CHUNK)[:, None])
+    h, pos = np.maximum(np.concatenate(best) + net.bias, 0), np.concatenate(where)
+    v = _vectors(h, first)
+    err = (_sigmoid(v @ net.out + net.base[0]) - y).astype(net.out.dtype) / len(texts)
+    dv = err[:, None] * net.out[None, :]
+    of = np.repeat(np.arange(len(texts)), np.diff(first))
+    dh = dv[of, :FILTERS] / np.diff(first)[of][:, None]
+    dh += np.where(h == v[of, FILTERS:], dv[of, FILTERS:], 0)
+    dh[h <= 0] = 0
+    chunk, filt = np.nonzero(dh)
+    g = dh[chunk, filt]
+    taps = np.zeros_like(net.taps)
+    for k in range(WIDTH):
+        np.add.at(taps[k], (data[pos[chunk, filt] + k], filt), g)
+    return [taps + decay * net.taps, dh.sum(0), v.T @ err + decay * net.out, np.array([err.sum()])]
+
+
 def train(rows: list[tuple[bytes, int]], epochs: int = 8, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Network:
     """Adam on the cross-entropy.  Without rows of both labels, a constant network that gives their share."""
     rng = np.random.default_rng(seed)
@@ -120,29 +147,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 8, batch: int = 32, rate:
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            pairs = net.pairs()
-            data, real, first = layout([rows[i][0] for i in pick])
-            y = y_all[pick]
-            best, where = [], []
-            for a in range(0, first[-1], BLOCK):
-                r = responses(data, real, pairs, a, min(a + BLOCK, first[-1]))
-                w = r.argmax(1)
-                best.append(np.take_along_axis(r, w[:, None, :], 1)[:, 0])
-                where.append(w + (np.arange(a, a + len(r)) * CHUNK)[:, None])
-            h, pos = np.maximum(np.concatenate(best) + net.bias, 0), np.concatenate(where)
-            v = _vectors(h, first)
-            err = (_sigmoid(v @ net.out + net.base[0]) - y).astype(f4) / len(pick)
-            dv = err[:, None] * net.out[None, :]
-            of = np.repeat(np.arange(len(pick)), np.diff(first))
-            dh = dv[of, :FILTERS] / np.diff(first)[of][:, None]
-            dh += np.where(h == v[of, FILTERS:], dv[of, FILTERS:], 0)
-            dh[h <= 0] = 0
-            chunk, filt = np.nonzero(dh)
-            g = dh[chunk, filt]
-            taps = np.zeros_like(net.taps)
-            for k in range(WIDTH):
-                np.add.at(taps[k], (data[pos[chunk, filt] + k], filt), g)
-            grads = [taps + decay * net.taps, dh.sum(0), v.T @ err + decay * net.out, np.array([err.sum()])]
+            grads = gradients(net, [rows[i][0] for i in pick], y_all[pick], decay)
             step += 1
             lr = rate * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
             for p, d, mi, si in zip(params, grads, m, s):
@@ -167,6 +172,11 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted), a row per row of ``docs``; ``labels`` (doc_id, quality).
+
+    Null texts score like empty ones, repeated rows alike.  Null ids are held out.  Without labels of both
+    kinds the score is their share (0.5 without any).  Further columns are ignored; an empty table gives
+    an empty result.
+    """
     net = train(training_rows(docs, labels, "quality", train_rows))
     return score(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -87,16 +87,27 @@ def matched(folded: str, automaton) -> tuple[float, int]:
     """Summed weights of the matches outside exception phrases, and their number."""
     if automaton is None:
         return 0.0, 0
-    hits, covered = [], []
+    hits, exempt = [], []
     for end, value in automaton.iter(folded):
-        (covered if len(value) > 2 else hits).append((end - value[0] + 1, end, value[1]))
-    if covered:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in covered)]
+        (exempt if len(value) > 2 else hits).append((end - value[0] + 1, end, value[1]))
+    if exempt:
+        # One sweep by first character: of the phrases that begin no later, the farthest end decides.
+        hits.sort()
+        exempt.sort()
+        kept, at, reach = [], 0, -1
+        for hit in hits:
+            while at < len(exempt) and exempt[at][0] <= hit[0]:
+                reach = max(reach, exempt[at][1])
+                at += 1
+            if hit[1] > reach:
+                kept.append(hit)
+        hits = kept
     return math.fsum(h[2] for h in hits), len(hits)
 
 
-def normalised(raw: float, n_words: int) -> float:
-    return raw / (1.0 + math.log1p(n_words / 500.0))
+def normalised(raw: float, folded: str) -> float:
+    """The sum by the number of folded words, the same in fitting and scoring."""
+    return raw / (1.0 + math.log1p(len(folded.split()) / 500.0))
 
 
 def _candidates(folded: str) -> set[str]:
@@ -167,7 +178,7 @@ def fit(rows: list[tuple[bytes, int]], exceptions: tuple[str, ...] = (), evidenc
     model = Model(weights, exceptions)
     model.exceptions = tuple(sorted({*exceptions, *_learned_exceptions(texts, model)}))
     auto = model.automaton()
-    x = np.array([normalised(matched(t, auto)[0], len(t.split())) for t, _ in texts])
+    x = np.array([normalised(matched(t, auto)[0], t) for t, _ in texts])
     model.intercept, model.slope = _logistic(x, np.array([float(y) for _, y in texts]))
     return model
 
@@ -195,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
             for text in batch.column(1):
                 folded = fold(text.as_py() or "")
                 raw, n = matched(folded, auto)
-                x = model.intercept + model.slope * normalised(raw, folded.count(" ")) if n else model.intercept
+                x = model.intercept + model.slope * normalised(raw, folded) if n else model.intercept
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
                 counts.append(n)
             s = pa.array(scores, pa.float64())
@@ -206,6 +217,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_matches) of every document."""
+    """(doc_id, held_out, score, predicted, n_matches), a row per row of ``docs``; ``labels`` (doc_id, toxic).
+
+    Null, empty and blank texts score as texts without matches, repeated rows alike.  Null ids are held
+    out.  Without labels of both kinds the lexicon is empty and every score the same.  Further columns
+    are ignored; an empty table gives an empty result.
+    """
     model = fit(training_rows(docs, labels, "toxic", train_rows))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_matches")

@@ -15,18 +15,22 @@ from costledger.llm.workspace import Workspace
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy of the quality rules keeps."""
+    """Rows that the current policy of the quality rules keeps; null, empty and blank texts have too few
+    words and go.  Ids may be null or repeat."""
     return quality_rules.filter_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines, n_chars recounted; documents left without a word go."""
-    found = line_dedup.dedupe_lines(docs)
+    """Texts without repeated lines, n_chars recounted where lines went; documents left without a word go,
+    null texts stay.  Ids may be null or repeat; other columns, whatever their names, stay as they are."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = line_dedup.dedupe_lines(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest")))
     changed = F.col("n_removed") > 0
     left = found.where(~changed | F.col("text").rlike(f"[^{SPACE[1:]}"))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    own = {c: F.col("_rest")[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in rest:
+        own["n_chars"] = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return left.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +58,16 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than four fifths of each benchmark item's five-word shingles.  A document
-    is its id, which may be null, and text: of an id's texts only those go that hold an item."""
+    is its id, which may be null, and text: of an id's texts only those go that hold an item.  Null, empty
+    and blank texts and items hold nothing."""
     own = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("doc_id"), "text")
     leaks = decontam.containment(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return _without(docs, leaks.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.th").alias("_th")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Batches of like token counts over what is left."""
+    """Batches of like token counts over what is left: a row per piece of at most 2,048 tokens.  Each row
+    is packed by itself, whatever its id; texts without words are pieces of length zero."""
     return packing.pack(wordpiece.token_counts(docs, wordpiece.read_vocab(spark, wordpiece.DEFAULT_VOCAB)))
 
 
@@ -75,6 +81,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each written to the shared folder and read again."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = work.table(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

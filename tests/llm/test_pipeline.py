@@ -49,3 +49,17 @@ def test_odd_ids(spark, tables):
     found = corpus_pipeline.near_copies(spark, rows((None, copy), (None, copy), (None, copy + " more"), (3, copy), (3, other), (5, lone), (5, lone), (6, other)), folder)
     kept = got(found)
     assert len([t for d, t in kept if d is None]) == 1 and kept[:2] == [(3, other), (5, lone)] and len(kept) == 3
+
+
+def test_ids_of_several_texts(spark):
+    rnd = random.Random(13)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(n))
+    a, b = text(120), text(120)
+    docs = spark.createDataFrame([(5, a), (3, b), (5, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [(3, b), (5, a)]
+
+
+def test_lines_keep_other_columns(spark):
+    shared = "a one\nb two\nc three"
+    docs = spark.createDataFrame([(1, "x", shared, 9), (2, "y", f"{shared}\nd four", 8)], "doc_id long, n_lines string, text string, n_removed int")
+    assert sorted(tuple(r) for r in corpus_pipeline.lines(spark, docs, "").collect()) == [(1, "x", shared, 9), (2, "y", "d four", 8)]

@@ -280,12 +280,26 @@ def _links(radius: int):
     return links
 
 
-def _candidates(radius: int):
+def _new(sigs: np.ndarray, bands: list[list[tuple[int, int]]], band: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) of rows agree on no band before that in which they have met."""
+    rows, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    keys, x, y = _keys(sigs[rows], bands), at[: len(a)], at[len(a) :]
+    new = np.ones(len(a), bool)
+    for k in range(len(bands)):
+        new &= (band[a] <= k) | (keys[k][x] != keys[k][y])
+    return new
+
+
+def _candidates(radius: int, bands: list[list[tuple[int, int]]]):
     """Rows sorted by tile and chunk -> pairs (a, b) of nodes within the radius, for each row those with
-    the first ``LINKS`` earlier rows of its tile; and (band, key, i, j) of tiles that have more."""
+    the first ``LINKS`` earlier rows of its tile; and (band, key, i, j) of tiles that have more.
+
+    Near copies meet in many bands, and the least rows of a group in most: a pair is given in the first
+    band that it agrees on only.  Where it is not among the first there, that tile is one that has more."""
 
     def links(table: pa.Table) -> pa.RecordBatch:
         first, last, sigs, start_of = _ranges(table)
+        band = table.column("band").to_numpy()
         taken, more = np.zeros(len(sigs), np.int64), np.zeros(len(sigs), bool)
         found = [np.zeros((0, 2), np.int64)]
         for a, b in close_pairs(sigs, first, last, radius):
@@ -294,8 +308,10 @@ def _candidates(radius: int):
             start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else b
             keep = np.arange(len(b)) - np.repeat(start, np.diff(np.r_[start, len(b)])) + taken[b] < LINKS
             taken += np.bincount(b, minlength=len(sigs))
-            found.append(np.stack((a[keep], b[keep]), 1))
             more[start_of[b[~keep]]] = True
+            a, b = a[keep], b[keep]
+            new = _new(sigs, bands, band, a, b)
+            found.append(np.stack((a[new], b[new]), 1))
         node = table.column("node").to_numpy()
         a, b = node[np.concatenate(found)].T
         tile = _tile(table)[more]
@@ -313,16 +329,13 @@ def _unjoined(radius: int, bands: list[list[tuple[int, int]]]):
 
     def rows(table: pa.Table) -> pa.RecordBatch:
         first, last, sigs, _ = _ranges(table)
-        keys = _keys(sigs, bands)
         band, component = table.column("band").to_numpy(), table.column("component").to_numpy()
         open_ = np.zeros(len(sigs), bool)
         for a, b in close_pairs(sigs, first, last, radius):
             apart = component[a] != component[b]
             a, b = a[apart], b[apart]
-            for k in range(len(bands)):
-                new = (band[a] <= k) | (keys[k][a] != keys[k][b])
-                a, b = a[new], b[new]
-            open_[a] = open_[b] = True
+            new = _new(sigs, bands, band, a, b)
+            open_[a[new]] = open_[b[new]] = True
         at = pa.array(np.flatnonzero(open_))
         names = ["band", "key", "node", "sig", "component"]
         return pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(at) for c in names], names)
@@ -583,7 +596,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, similarity: float = 0.8,
     radius = radius_for(similarity, 64 * words)
     reps = work.table(sigs.groupBy("sig", "digest").agg(F.min("doc_id").alias("node")), "reps")
     tiles = _tiles(reps, bands, work)
-    links = work.table(_sorted_tiles(tiles).mapInArrow(_by_tile(_candidates(radius)), "a bigint, b bigint, band int, key bigint, i int, j int"), "links")
+    links = work.table(_sorted_tiles(tiles).mapInArrow(_by_tile(_candidates(radius, bands)), "a bigint, b bigint, band int, key bigint, i int, j int"), "links")
     edges = work.table(_similar(docs, links.where("a <> b").select("a", "b").distinct(), n_words, similarity, work), "similar")
     joined = work.table(connected_components(edges, work), "joined")
     more = work.table(links.where("a is null").select("band", "key", "i", "j").distinct(), "more")

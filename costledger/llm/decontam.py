@@ -13,21 +13,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let, shingles, words
+from .text import let, shingles, word_hashes, words
 from .workspace import Workspace
 
-#: A benchmark side of at most so many rows is broadcast (under 64 MB); a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+#: A benchmark side of at most so many bytes is broadcast; a larger one is merged.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a row beside its text.
+ROW_BYTES = 64
 
 
-def _hashes(w: Column, n: int) -> Column:
-    """A hash per run of ``n`` words; of fewer words, of all; of none, none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
-    return F.when(F.size(w) >= n, runs).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, text: Column) -> DataFrame:
+    """``df``, a written table, marked for broadcast or for a merge by its measured size."""
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
+    found = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if found <= BROADCAST_BYTES else df.hint("merge")
 
 
 def containment(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -44,7 +43,7 @@ def containment(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     need = lambda size: F.ceil(size * per / 1000).cast("int")
     listed = items.select(F.col(item_id).alias("item"), F.lower(text).alias("t")).distinct()
     sets = work.table(
-        listed.select("item", F.xxhash64("t").alias("it"), let(words(F.col("t")), lambda w: shingles(w, n)).alias("s"), let(words(F.col("t")), lambda w: F.array_sort(F.array_distinct(_hashes(w, n)))).alias("h"))
+        listed.select("item", F.xxhash64("t").alias("it"), let(words(F.col("t")), lambda w: shingles(w, n)).alias("s"), let(words(F.col("t")), lambda w: F.array_sort(F.array_distinct(word_hashes(w, n)))).alias("h"))
         .withColumn("s", F.array_distinct("s"))
         .withColumn("size", F.size("s"))
         .where("size > 0"),
@@ -53,19 +52,18 @@ def containment(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
     upper = F.pow(F.lit(2), F.floor(F.log2("size")) + 1) - 1
     sketch = work.table(sets.select("it", "item", need(F.pow(F.lit(2), F.floor(F.log2("size")))).alias("least"), F.explode(F.slice("h", 1, (upper - need(upper) + 1).cast("int"))).alias("h")), "sketch")
     wanted = work.table(sets.select("item", "it", "size", F.explode("s").alias("s")), "wanted")
-    n_sketch, n_wanted = sketch.count(), wanted.count()
 
     rows = docs.select(F.col(doc_id).alias("doc"), F.lower(text).alias("t"))
     rows = rows.select("doc", F.xxhash64("t").alias("dt"), "t")
     # An outer explode: for a plain one the optimizer adds a filter on the array, and would push it
     # below the join and compute the array of every document twice.  The joins drop its null rows.
-    hashed = rows.select("doc", "dt", let(words(F.col("t")), lambda w: _hashes(w, n)).alias("hs")).select("doc", "dt", F.size("hs").alias("many"), F.explode_outer("hs").alias("h"))
-    found = work.table(hashed.join(_small(sketch, n_sketch), "h").where("many >= least").select("doc", "dt", "item", "it").distinct(), "candidates")
+    hashed = rows.select("doc", "dt", let(words(F.col("t")), lambda w: word_hashes(w, n)).alias("hs")).select("doc", "dt", F.size("hs").alias("many"), F.explode_outer("hs").alias("h"))
+    found = work.table(hashed.join(_small(sketch, F.col("item").cast("string")), "h").where("many >= least").select("doc", "dt", "item", "it").distinct(), "candidates")
 
     suspects = found.select(F.col("doc").alias("d"), F.col("dt").alias("x")).distinct()
     checked = rows.join(suspects, rows.doc.eqNullSafe(suspects.d) & (rows.dt == suspects.x), "left_semi")
     told = checked.select("doc", "dt", let(words(F.col("t")), lambda w: shingles(w, n)).alias("s")).select("doc", "dt", F.explode_outer("s").alias("s"))
-    hits = told.join(_small(wanted, n_wanted), "s").groupBy("doc", "dt", "item", "it", "size").agg(F.count_distinct("s").alias("n_found"))
+    hits = told.join(_small(wanted, F.col("s")), "s").groupBy("doc", "dt", "item", "it", "size").agg(F.count_distinct("s").alias("n_found"))
     pair = [hits.doc.eqNullSafe(found.doc), hits.dt == found.dt, hits.item.eqNullSafe(found.item), hits.it == found.it]
     sure = hits.where(F.col("n_found") * 1000 >= F.col("size") * per).join(found, pair, "left_semi")
     best = sure.groupBy("doc", "item").agg(F.max(F.struct((F.col("n_found") / F.col("size")).alias("containment"), F.col("size").cast("long").alias("n_shingles"), F.col("n_found").cast("long").alias("n_found"))).alias("b"))

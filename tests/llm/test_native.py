@@ -65,8 +65,8 @@ def test_containment_paths(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     items = spark.createDataFrame([(7, item), (None, item), (8, "  ")], "item_id long, text string").withColumn("doc_id", F.lit(0))
     want = {(1, 7), (5, 7), (1, None), (5, None)}
-    for limit in (500_000, 0):
-        monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    for limit in (32 << 20, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
         assert {(r.doc_id, r.item_id) for r in decontam.containment(docs, items).collect()} == want
     assert decontam.containment(empty(spark), items).collect() == []
 

@@ -22,7 +22,7 @@ def _lines(spark, sf_dir, text: Column, *extra: Column) -> DataFrame:
     name = F.concat(F.lit("/x/tmp/p/chats/u"), F.col("user_id").cast("string"), F.lit(".jsonl"))
     return b.select(
         name.alias("source_file"), F.col("event_id").alias("offset"), F.lit(1).cast("bigint").alias("length"), F.lit("ok").alias("status"), text.alias("text"),
-        F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("mtime_ms"), F.lit(True).alias("restart"), *extra,
+        F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("mtime_ms"), F.lit(0).cast("bigint").alias("generation"), *extra,
     )
 
 

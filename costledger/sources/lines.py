@@ -1,7 +1,7 @@
 """A data source of the lines of append-only logs, with their byte offsets.
 
 ``spark.read.format("costledger_lines")`` gives (source_file, offset, length, status, text, size,
-mtime_ms, restart); ``readStream`` gives the same of what was appended.  Spark's text source would
+mtime_ms, generation); ``readStream`` gives the same of what was appended.  Spark's text source would
 split on bare carriage returns, has no offsets, and shows an unterminated last line as whole.
 
 Options: ``path`` (a folder, or files separated by ``|``), ``suffix`` (``|``-separated, default
@@ -9,11 +9,15 @@ Options: ``path`` (a folder, or files separated by ``|``), ``suffix`` (``|``-sep
 
 A line's status is ``ok``, ``oversized`` (skipped without being held) or ``truncated`` (the last one,
 without a line feed: the writer is not done, so a stream reads it again).  Empty lines are left out.
+A stream also gives a row of status ``begun`` for a file that it reads from its beginning, because it is
+new or no longer the one that was read, and ``gone`` for one that is not there any more; the generation
+of a row is that of its batch, and later batches have greater ones.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +30,7 @@ FORMAT = "costledger_lines"
 MAX_LINE_BYTES = 10 << 20
 SPLIT_BYTES = 64 << 20
 BLOCK = 1 << 20
-SCHEMA = "source_file string, offset bigint, length bigint, status string, text string, size bigint, mtime_ms bigint, restart boolean"
+SCHEMA = "source_file string, offset bigint, length bigint, status string, text string, size bigint, mtime_ms bigint, generation bigint"
 
 
 def iter_lines(read_at, start: int, end: int, size: int, cap: int) -> Iterator[tuple[int, int, str, bytes]]:
@@ -95,7 +99,8 @@ class Piece(InputPartition):
     end: int
     size: int
     mtime_ms: int
-    restart: bool
+    generation: int
+    mark: str = ""
 
 
 def _open(uri: str):
@@ -120,16 +125,19 @@ def _list(options) -> list[tuple[str, int, int]]:
 
 
 def _read(piece: Piece, cap: int):
+    if piece.mark:
+        yield piece.uri, 0, 0, piece.mark, None, piece.size, piece.mtime_ms, piece.generation
+        return
     with _open(piece.uri) as f:
         for offset, length, status, data in iter_lines(f.read_at, piece.start, piece.end, piece.size, cap):
             if data.endswith(b"\r"):
                 data = data[:-1]
             if data or status != "ok":
-                yield piece.uri, offset, length, status, data.decode("utf-8", "replace") if status == "ok" else None, piece.size, piece.mtime_ms, piece.restart
+                yield piece.uri, offset, length, status, data.decode("utf-8", "replace") if status == "ok" else None, piece.size, piece.mtime_ms, piece.generation
 
 
-def _pieces(uri: str, start: int, size: int, mtime_ms: int, restart: bool, split: int) -> list[Piece]:
-    return [Piece(uri, a, min(a + split, size), size, mtime_ms, restart) for a in range(start, size, split)]
+def _pieces(uri: str, start: int, size: int, mtime_ms: int, generation: int, split: int) -> list[Piece]:
+    return [Piece(uri, a, min(a + split, size), size, mtime_ms, generation) for a in range(start, size, split)]
 
 
 class _Batch(DataSourceReader):
@@ -139,7 +147,7 @@ class _Batch(DataSourceReader):
 
     def partitions(self):
         split = int(self.options.get("splitBytes", SPLIT_BYTES))
-        return [p for uri, size, mtime in _list(self.options) for p in _pieces(uri, 0, size, mtime, True, split)] or [Piece("", 0, 0, 0, 0, True)]
+        return [p for uri, size, mtime in _list(self.options) for p in _pieces(uri, 0, size, mtime, 0, split)] or [Piece("", 0, 0, 0, 0, 0)]
 
     def read(self, partition):
         if partition.uri:
@@ -147,38 +155,45 @@ class _Batch(DataSourceReader):
 
 
 class _Stream(DataSourceStreamReader):
-    """An offset is {file: [bytes of complete lines, size, mtime]}."""
+    """An offset is {file: [bytes of complete lines, size, mtime]} and its generation: the time it was
+    taken at, and always more than the last one's, which the option ``after`` tells of earlier runs."""
 
     def __init__(self, options):
         self.options = options
         self.cap = int(options.get("maxLineBytes", MAX_LINE_BYTES))
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, list[int]] | None = None
+        self.generation = int(options.get("after", 0))
 
     def initialOffset(self):
-        return {"files": "{}"}
+        return {"files": "{}", "generation": "0"}
 
     def latestOffset(self):
         now = {}
         for uri, size, mtime in _list(self.options):
-            old = self.seen.get(uri)
+            old = (self.seen or {}).get(uri)
             if old and old[1:] == [size, mtime]:
                 now[uri] = old
             else:
                 with _open(uri) as f:
                     now[uri] = [complete_until(f.read_at, size), size, mtime]
+        if now != self.seen:
+            self.generation = max(self.generation + 1, int(time.time() * 1000))
         self.seen = now
-        return {"files": json.dumps(now, sort_keys=True)}
+        return {"files": json.dumps(now, sort_keys=True), "generation": str(self.generation)}
 
     def partitions(self, start, end):
         split = int(self.options.get("splitBytes", SPLIT_BYTES))
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        out = []
+        generation = int(end["generation"])
+        out = [Piece(uri, 0, 0, 0, 0, generation, "gone") for uri in before if uri not in after]
         for uri, (done, size, mtime) in after.items():
             old = before.get(uri)
             if old and old[1:] == [size, mtime]:
                 continue
             grown = old is not None and size > old[1]
-            out += _pieces(uri, old[0] if grown else 0, done, mtime, not grown, split)
+            if not grown:
+                out.append(Piece(uri, 0, 0, size, mtime, generation, "begun"))
+            out += _pieces(uri, old[0] if grown else 0, done, mtime, generation, split)
         return out
 
     def read(self, partition):
@@ -214,10 +229,12 @@ def stream_lines(spark: SparkSession, path: str, suffix: str = ".jsonl", **optio
 
 
 def latest(lines: DataFrame) -> DataFrame:
-    """Of lines gathered by a stream those of each file's latest reading from its beginning, so that a
-    rewritten file replaces what it was."""
-    since = lines.where("restart").groupBy("source_file").agg(F.max("mtime_ms").alias("_since"))
-    return lines.join(since, "source_file").where("mtime_ms >= _since").drop("_since")
+    """Of lines gathered by a stream those of each file's latest reading from its beginning: a rewritten
+    file replaces what it was, whatever its time stamp, and a file that is gone has none."""
+    marks = F.col("status").isin("begun", "gone")
+    last = lines.where(marks).groupBy("source_file").agg(F.max(F.struct("generation", "status")).alias("_m"))
+    alive = last.where("_m.status = 'begun'").select("source_file", F.col("_m.generation").alias("_since"))
+    return lines.where(~marks).join(alive, "source_file").where("generation >= _since").drop("_since")
 
 
 def file_stats(classified: DataFrame, agent: str) -> DataFrame:

@@ -174,6 +174,22 @@ def test_incremental_is_cold(spark, tmp_path):
     write(path, [u(9, "s")])
     os.utime(path, (2_000_000_000, 2_000_000_000))
     assert same() == 2
+    with open(path, "a") as f:
+        f.writelines(json.dumps(u(i, "s")) + "\n" for i in (4, 5, 6))
+    assert same() == 5
+    write(path, [u(7, "s")])  # restored with an older time stamp
+    os.utime(path, (1_000_000_000, 1_000_000_000))
+    assert same() == 2
+    os.remove(f"{logs}/p/b.jsonl")
+    assert same() == 1
+    write(f"{logs}/p/b.jsonl", [u(8, "t")])  # back again, older than before
+    os.utime(f"{logs}/p/b.jsonl", (1_000_000_000, 1_000_000_000))
+    assert same() == 2
+    write(path, [])
+    assert same() == 1
+    with open(f"{store}/v{ingest.VERSION}/claude-code/seal.json", "w") as f:
+        f.write("{}")
+    assert same() == 1  # a damaged store is built anew
 
 
 def test_config(tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 DAY_MS = 86_400_000
+VERSION = "0.2.0"
 
 
 @dataclass(frozen=True)

@@ -33,6 +33,11 @@ def measures(models: bool = True) -> list[Column]:
     return [*out, F.min("ts_ms").alias("min_ts_ms"), F.max("ts_ms").alias("max_ts_ms")]
 
 
+def unpriced_tokens() -> list[Column]:
+    """Tokens of unpriced events by class, named as the sums of all are."""
+    return [_long(F.when(F.col("cost_total").isNull(), F.col(c))).alias(f"{c}_tokens") for c in CLASSES]
+
+
 def rollup(ledger: DataFrame, *keys: str, models: bool = True) -> DataFrame:
     return ledger.groupBy(*keys).agg(*measures(models))
 

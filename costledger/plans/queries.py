@@ -291,7 +291,7 @@ def report_summary(spark, sf_dir):
     return _longs(reports.summary(_ledger(spark, sf_dir)))
 
 
-_LOG = f"""SELECT c.repo_id, c.hash, c.author_ts_ms, c.subject, coalesce(r.events, 0) AS events, r.cost_total, r.confidence, coalesce(r.unpriced_tokens, 0) AS unpriced_tokens, coalesce(r.sessions, 0) AS sessions, r.models
+_LOG = f"""SELECT c.repo_id, c.hash, c.author_ts_ms, c.subject, coalesce(r.events, 0) AS events, r.cost_total, r.confidence, coalesce(r.unpriced_tokens, 0) AS unpriced_tokens, coalesce(r.sessions, 0) AS sessions, r.models, r.input_tokens, r.output_tokens, r.cache_write_tokens, r.cache_read_tokens
  FROM commits c LEFT JOIN (SELECT repo_id, hash, {_ROLL_M}, {_CONF} AS confidence FROM ledger WHERE kind = 'commit' GROUP BY ALL) r ON r.repo_id = c.repo_id AND r.hash = c.hash"""
 
 

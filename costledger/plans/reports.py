@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Flags
-from ..functions.money import NANO
+from ..functions.money import CLASSES, NANO
 from ..operators import rollup
 from ..operators.events import in_window, total_tokens
 from ..operators.pricing import reprice as reprice_rows
@@ -46,7 +46,7 @@ def log(led: Ledger, flags: Flags | None = None, hashes: DataFrame | None = None
     commits = commits.where(in_window(F.col("author_ts_ms"), flags.since, flags.until))
     if limit is not None:
         commits = commits.orderBy(F.col("author_ts_ms").desc(), "hash").limit(limit)
-    costed = _commit_rollup(scoped(led, flags), "repo_id", "hash").select("repo_id", "hash", "events", "cost_total", "confidence", "unpriced_tokens", "sessions", "models")
+    costed = _commit_rollup(scoped(led, flags), "repo_id", "hash").select("repo_id", "hash", "events", "cost_total", "confidence", "unpriced_tokens", "sessions", "models", *[f"{c}_tokens" for c in CLASSES])
     out = commits.select("repo_id", "hash", "author_ts_ms", "subject").join(costed, ["repo_id", "hash"], "left")
     return out.na.fill(0, ["events", "unpriced_tokens", "sessions"])
 
@@ -123,11 +123,14 @@ def reprice(led: Ledger, model: str, flags: Flags | None = None, hashes: DataFra
     if hashes is not None:
         rows = rows.where("kind = 'commit'").join(hashes, ["repo_id", "hash"], "left_semi")
     again = reprice_rows(rows, find_card(led, model))
+    unpriced = F.col("cost_total").isNull()
+    long = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     money = lambda c: F.coalesce(F.sum(c), F.lit(0).cast(NANO)).cast(NANO)
     out = again.agg(
         F.count("*").alias("events"), F.coalesce(F.sum(total_tokens()), F.lit(0)).cast("bigint").alias("tokens"),
         *[money(f"repriced_{c}").alias(f"repriced_{c}") for c in ("input", "output", "cache_write", "cache_read", "total")],
-        money("cost_total").alias("measured_total"), F.count(F.when(F.col("cost_total").isNull(), 1)).alias("unpriced_events"),
+        money("cost_total").alias("measured_total"), F.count(F.when(unpriced, 1)).alias("unpriced_events"),
+        *[long(F.col(c)).alias(f"{c}_tokens") for c in CLASSES], *[long(F.when(unpriced, F.col(c))).alias(f"unpriced_{c}") for c in CLASSES],
         F.coalesce(F.bool_or("cache_fallback"), F.lit(False)).alias("cache_fallback"),
     )
     return out.withColumn("delta_pct", rollup.delta_percent(F.col("measured_total"), F.col("repriced_total")))

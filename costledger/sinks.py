@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
+from .config import VERSION
 from .functions.money import format_usd, money_json
 
 SCHEMA_VERSION = 1
@@ -23,20 +24,22 @@ ANSI = re.compile(r"\x1b\[[0-9;]*m")
 
 
 def format_tokens(n: int) -> str:
-    """9,999 and below in full, then k, M and B with one decimal; a rounded 1000.0 moves on."""
+    """9,999 and below in full, then k, M and B with one decimal, halves up; a rounded 1000.0 moves on."""
     if n < 10_000:
         return f"{n:,}"
-    value, unit = n / 1000, 0
-    while round(value, 1) >= 1000 and unit < 2:
-        value, unit = value / 1000, unit + 1
-    return f"{value:.1f}{'kMB'[unit]}"
+    for size, unit in ((10**3, "k"), (10**6, "M"), (10**9, "B")):
+        tenths = (n * 10 + size // 2) // size
+        if tenths < 10_000:
+            break
+    return f"{tenths // 10:,}.{tenths % 10}{unit}"
 
 
 def format_bytes(n: int) -> str:
+    """By 1,024, with one decimal from KB on."""
     value, unit = float(n), 0
     while value >= 1024 and unit < 4:
         value, unit = value / 1024, unit + 1
-    return f"{n} B" if unit == 0 else f"{value:.1f} {['B', 'KiB', 'MiB', 'GiB', 'TiB'][unit]}"
+    return f"{n} B" if unit == 0 else f"{value:.1f} {['B', 'KB', 'MB', 'GB', 'TB'][unit]}"
 
 
 def date_utc(ms: int) -> str:
@@ -51,8 +54,10 @@ def iso_utc(ms: int | None) -> str | None:
     return None if ms is None else datetime.fromtimestamp(ms // 1000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S") + f".{ms % 1000:03d}Z"
 
 
-def local_time(ms: int, zone: str) -> str:
-    return datetime.fromtimestamp(ms / 1000, ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M %z")
+def local_time(ms: int, zone: str | None = None) -> str:
+    """Wall time with its offset, for the heads of reports only; without a zone the system's."""
+    at = datetime.fromtimestamp(ms // 1000, timezone.utc).astimezone(ZoneInfo(zone) if zone else None)
+    return at.strftime("%Y-%m-%d %H:%M:%S ") + at.strftime("%z")[:3] + ":" + at.strftime("%z")[3:5]
 
 
 def parse_date(text: str, now_ms: int) -> int:
@@ -113,11 +118,16 @@ def breakdown_json(r) -> dict:
     return {k: money_json(int(r[c] or 0)) for k, c in names.items()}
 
 
-def envelope(command: str, check, plan: str | None = None, warnings: Iterable[str] = (), extra: dict | None = None) -> dict:
+def bucket_json(b: dict) -> dict:
+    return {k: b[k] for k in ("cost", "tokens", "sessions")}
+
+
+def envelope(command: str, check, repo: str, plan: str | None = None, pricing: dict | None = None, warnings: Iterable[str] = ()) -> dict:
     """The head that every report shares."""
-    conservation = {k: check[k] for k in ("attributed", "waste", "overhead", "delta")} | {"outOfScope": check["out_of_scope"]}
-    invariant = {"ok": check["ok"], "rawTokens": check["raw_tokens"], "ledgerTokens": check["ledger_tokens"], "mismatchTokens": check["mismatch_tokens"], "buckets": conservation}
-    return {"schemaVersion": SCHEMA_VERSION, "command": command, "plan": plan, "invariant": invariant, "warnings": list(warnings)} | (extra or {})
+    sums = {"attributed": check["attributed"], "waste": check["waste"], "overhead": check["overhead"], "outOfScope": check["out_of_scope"]}
+    invariant = {"ok": check["ok"], "totalTokens": check["raw_tokens"], **sums, "deltaTokens": check["mismatch_tokens"]}
+    head = {"schemaVersion": SCHEMA_VERSION, "command": command, "costledger": VERSION, "repoRoot": repo, "plan": plan, "pricing": pricing or {}, "invariant": invariant, "warnings": list(warnings)}
+    return head if check["ok"] else head | {"accountingMismatch": {"tokens": check["mismatch_tokens"]}}
 
 
 def to_json(report: dict) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonv as J
 from ..functions.paths import base_name, resolve
-from .lines import file_stats, forward, read_lines
+from .lines import file_stats, forward, list_files, read_lines
 from .usage import EVENT, exploded
 
 AGENT = "gemini-cli"
@@ -129,7 +129,7 @@ def classify_documents(docs: DataFrame) -> DataFrame:
     return done.select(
         "source_file", F.lit(0).cast("bigint").alias("offset"), events.alias("events"), F.lit(AGENT).alias("agent"), "size", "mtime_ms",
         F.when(F.col("_ok"), F.col("size")).otherwise(0).cast("bigint").alias("bytes_consumed"), (F.size("_r") + 1).cast("bigint").alias("lines_read"),
-        F.size(events).cast("bigint").alias("events_extracted"), skipped.cast("bigint").alias("lines_skipped"),
+        F.size(events).cast("bigint").alias("events_extracted"), skipped.cast("bigint").alias("lines_skipped"), F.lit(False).alias("refused"),
     )
 
 
@@ -158,19 +158,26 @@ def project_roots(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(events, file stats) of ``root``/tmp, both forms."""
+    """(events, file stats) of ``root``/tmp, both forms.  Documents that are too large are refused, and
+    their stats say so."""
     root = root.rstrip("/")
     roots = project_roots(spark, root)
     told = classify(with_context(read_lines(spark, f"{root}/tmp"), root, roots)).where(F.col("source_file").contains("/chats/"))
     stats = file_stats(told, AGENT)
     events = exploded(told)
-    fs, path = pafs.FileSystem.from_uri(root)
-    old = [f for f in fs.get_file_info(pafs.FileSelector(f"{path}/tmp", allow_not_found=True, recursive=True)) if f.path.endswith(".json") and "/chats/" in f.path]
-    if old:
-        files = spark.read.text([f.path for f in old if f.size < MAX_DOCUMENT_BYTES] or [], wholetext=True) if any(f.size < MAX_DOCUMENT_BYTES for f in old) else None
-        if files is not None:
-            named = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source_file"), F.col("_metadata.file_size").alias("size"), F.unix_millis(F.col("_metadata.file_modification_time")).alias("mtime_ms"), F.col("value").alias("text"))
-            docs = classify_documents(with_context(named, root, roots))
-            events = events.unionByName(exploded(docs))
-            stats = stats.unionByName(docs.select(*stats.columns))
+    old = [f for f in list_files({"path": f"{root}/tmp", "suffix": ".json"}) if "/chats/" in f[0]]
+    fine = [uri for uri, size, _ in old if size < MAX_DOCUMENT_BYTES]
+    if fine:
+        # Without a scheme a path is local here, whatever Spark's default file system is.
+        files = spark.read.text([uri if "://" in uri else f"file://{uri}" for uri in fine], wholetext=True)
+        local = "file:///" if root.startswith("file:") else "/"
+        named = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", local).alias("source_file"), F.col("_metadata.file_size").alias("size"), F.unix_millis(F.col("_metadata.file_modification_time")).alias("mtime_ms"), F.col("value").alias("text"))
+        docs = classify_documents(with_context(named, root, roots))
+        events = events.unionByName(exploded(docs))
+        stats = stats.unionByName(docs.select(*stats.columns))
+    refused = [(uri, AGENT, size, mtime, 0, 0, 0, 0, True) for uri, size, mtime in old if size >= MAX_DOCUMENT_BYTES]
+    if refused:
+        kinds = dict(stats.dtypes)
+        names = ["source_file", "agent", "size", "mtime_ms", "bytes_consumed", "lines_read", "events_extracted", "lines_skipped", "refused"]
+        stats = stats.unionByName(spark.createDataFrame(refused, ", ".join(f"{n} {kinds[n]}" for n in names)))
     return events, stats

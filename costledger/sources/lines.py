@@ -108,7 +108,7 @@ def _open(uri: str):
     return fs.open_input_file(path)
 
 
-def _list(options) -> list[tuple[str, int, int]]:
+def list_files(options) -> list[tuple[str, int, int]]:
     """(uri, size, mtime) of all files, sorted; a folder that is not there has none."""
     suffixes = tuple(options.get("suffix", ".jsonl").split("|"))
     found = []
@@ -147,7 +147,7 @@ class _Batch(DataSourceReader):
 
     def partitions(self):
         split = int(self.options.get("splitBytes", SPLIT_BYTES))
-        return [p for uri, size, mtime in _list(self.options) for p in _pieces(uri, 0, size, mtime, 0, split)] or [Piece("", 0, 0, 0, 0, 0)]
+        return [p for uri, size, mtime in list_files(self.options) for p in _pieces(uri, 0, size, mtime, 0, split)] or [Piece("", 0, 0, 0, 0, 0)]
 
     def read(self, partition):
         if partition.uri:
@@ -169,7 +169,7 @@ class _Stream(DataSourceStreamReader):
 
     def latestOffset(self):
         now = {}
-        for uri, size, mtime in _list(self.options):
+        for uri, size, mtime in list_files(self.options):
             old = (self.seen or {}).get(uri)
             if old and old[1:] == [size, mtime]:
                 now[uri] = old
@@ -239,13 +239,13 @@ def latest(lines: DataFrame) -> DataFrame:
 
 def file_stats(classified: DataFrame, agent: str) -> DataFrame:
     """``classified`` (source_file, offset, length, outcome, n_events, status, size, mtime_ms) per file.
-    Bytes of a truncated line are not consumed."""
+    Bytes of a truncated line are not consumed.  ``refused`` is for files that were found and not read."""
     whole = F.col("status") != "truncated"
     return classified.groupBy("source_file").agg(
         F.lit(agent).alias("agent"), F.max("size").alias("size"), F.max("mtime_ms").alias("mtime_ms"),
         F.coalesce(F.max(F.when(whole, F.col("offset") + F.col("length"))), F.lit(0)).cast("bigint").alias("bytes_consumed"),
         F.count("*").alias("lines_read"), F.coalesce(F.sum("n_events"), F.lit(0)).cast("bigint").alias("events_extracted"),
-        F.count(F.when(F.col("outcome") == "malformed", 1)).alias("lines_skipped"),
+        F.count(F.when(F.col("outcome") == "malformed", 1)).alias("lines_skipped"), F.lit(False).alias("refused"),
     )
 
 
@@ -261,4 +261,4 @@ def forward(value: Column, upto: int = 0) -> Column:
     return F.last(value, ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, upto))
 
 
-__all__ = ["FORMAT", "LineSource", "by_file", "complete_until", "file_stats", "forward", "iter_lines", "latest", "read_lines", "stream_lines"]
+__all__ = ["FORMAT", "LineSource", "by_file", "complete_until", "file_stats", "forward", "iter_lines", "list_files", "latest", "read_lines", "stream_lines"]

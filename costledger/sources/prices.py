@@ -47,18 +47,18 @@ def to_frame(spark: SparkSession, table: dict) -> DataFrame:
     return spark.createDataFrame(rows, CARD)
 
 
-def load(spark: SparkSession, bundled: dict, user_path: str | None = None) -> tuple[DataFrame, str, list[str]]:
-    """(cards, origin, warnings): the user's table if it is valid, else the bundled one and a warning."""
+def load(spark: SparkSession, bundled: dict, user_path: str | None = None) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """(cards, {origin, asOf}, warnings): the user's table if it is valid, else the bundled one and a warning."""
     warnings: list[str] = []
     if user_path and os.path.exists(user_path):
         try:
             with open(user_path, encoding="utf-8") as f:
                 table, warnings = validate(json.load(f), user_path)
-            return to_frame(spark, table), "user", warnings
+            return to_frame(spark, table), {"asOf": table["asOf"], "origin": "refreshed"}, warnings
         except (OSError, ValueError) as e:
             warnings = [f"{e}; the bundled prices are used"]
     table, more = validate(bundled, "bundled prices")
-    return to_frame(spark, table), "bundled", warnings + more
+    return to_frame(spark, table), {"asOf": table["asOf"], "origin": "bundled"}, warnings + more
 
 
 def price_string(nano: int) -> str:

@@ -30,7 +30,7 @@ def _tokens(t: dict) -> str:
 
 def _invariant(report: dict) -> str:
     i = report["invariant"]
-    return sinks.invariant_line({"ok": i["ok"], "raw_tokens": i["rawTokens"], "mismatch_tokens": i["mismatchTokens"]})
+    return sinks.invariant_line({"ok": i["ok"], "raw_tokens": i["totalTokens"], "mismatch_tokens": i["deltaTokens"]})
 
 
 def _models(rows: list[dict]) -> str:
@@ -42,8 +42,8 @@ def summary(r: dict) -> str:
     t, c = r["totals"], r["cacheEfficiency"]
     span = ", ".join(f"{k} {v}" for k, v in r["scope"].items() if v) or "all history"
     out = [f"scope: {span}", f"total: {_usd(t['cost'])}{plan_suffix(r['plan'])}", f"tokens: {_tokens(t['tokens'])}"]
-    if t["unpricedTokens"]:
-        out.append(f"not priced: {sinks.format_tokens(t['unpricedTokens'])} tokens of {t['unpricedEvents']} calls to unknown models")
+    if t["unpricedTokens"]["total"]:
+        out.append(f"not priced: {sinks.format_tokens(t['unpricedTokens']['total'])} tokens of {t['unpricedEvents']} calls to unknown models")
     out += ["", _models(r["byModel"]), ""]
     if c["pctOfInputVolume"] is not None:
         out.append(f"cache reads: {c['pctOfInputVolume']}% of the input, {_usd(c['savings'])} below its price ({c['label']})")
@@ -79,13 +79,13 @@ def range_(r: dict, color: bool = False) -> str:
     rows = [[_usd(c["cost"]) if c["cost"] else "$0.00", confidence_mark(c["confidence"], color), c["shortHash"], c["date"], sinks.truncate(c["subject"], 48)] for c in r["commits"]]
     out.append(sinks.table([("cost", "right"), ("conf", "left"), ("hash", "left"), ("date", "left"), ("subject", "left")], rows))
     if r["span"]["from"]:
-        out.append(f"between its first and last commit: waste {_usd(r['waste'])}, overhead {_usd(r['overhead'])}")
+        out.append(f"between its first and last commit: waste {_usd(r['waste']['cost'])}, overhead {_usd(r['overhead']['cost'])}")
     return "\n".join([*out, _invariant(r)])
 
 
 def reprice(r: dict) -> str:
     cost = r["repriced"]["cost"]
-    out = [f"{r['target']['displayName']} ({r['target']['id']}): {_usd(cost['total'])} for {sinks.format_tokens(r['scope']['tokens'])} tokens of {r['scope']['events']} calls"]
+    out = [f"{r['target']['displayName']} ({r['target']['id']}): {_usd(cost['total'])} for {sinks.format_tokens(r['scope']['tokens']['total'])} tokens of {r['scope']['events']} calls"]
     out.append(f"measured: {_usd(r['measured']['cost'])}{'' if r['deltaPct'] is None else f', {r['deltaPct']}%'}")
     if r["cacheFallback"]:
         out.append("the target has no cache prices; cache tokens count at its input price")

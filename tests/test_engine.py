@@ -10,7 +10,7 @@ from costledger import sinks, text_reports
 from costledger.config import Flags
 from costledger.engine import Engine, UserError, load_config
 from costledger.functions import money
-from costledger.sources import claude
+from costledger.sources import adapters, claude
 from costledger.streaming import ingest
 from tests.test_sources import call, write
 
@@ -69,8 +69,8 @@ def test_reports(spark, world):
     told = eng.summary()
     each = 100 * 5000 + 10 * 25000
     talk = 8 * 6250 + 1_000_000 * 500
-    assert told["invariant"]["ok"] and told["totals"]["cost"]["nanoUsd"] == str(4 * each + talk) and told["totals"]["unpricedTokens"] == 7
-    assert told["waste"]["events"] == 1 and told["inProgress"]["cost"]["nanoUsd"] == str(each) and told["overhead"]["cost"]["nanoUsd"] == str(talk) and told["covered"] == {"sessions": 2, "commits": 2}
+    assert told["invariant"]["ok"] and told["totals"]["cost"]["nanoUsd"] == str(4 * each + talk) and told["totals"]["unpricedTokens"] == {"input": 7, "output": 0, "cacheWrite": 0, "cacheRead": 0, "total": 7}
+    assert told["waste"]["sessions"] == 1 and told["inProgress"]["cost"]["nanoUsd"] == str(each) and told["overhead"]["cost"]["nanoUsd"] == str(talk) and told["covered"] == {"sessions": 2, "commits": 2}
     assert any("mystery" in w for w in told["warnings"]) and [m["model"] for m in told["byModel"]] == ["atlas-4", "mystery"] and told["byModel"][1]["cost"] is None
     log = eng.log()
     assert [c["hash"] for c in log["commits"]] == [b, a] and [c["cost"]["nanoUsd"] for c in log["commits"]] == [str(each), str(2 * each)] and log["commits"][1]["confidence"] == "high"
@@ -86,7 +86,9 @@ def test_reports(spark, world):
     text = eng.markdown()
     assert "second \\| piped" in text and "$—" in text and "tokens accounted for" in text and b[:7] in eng.log_text()
     doc = eng.doctor()
-    assert doc["parse"] == {"linesRead": 8, "linesSkipped": 0, "events": 8, "inScope": 6, "outOfScope": 1, "duplicates": 1, "parsedPct": 100.0}
+    assert doc["parse"] == {"filesFound": 1, "filesRead": 1, "filesSkipped": 0, "linesRead": 8, "eventsExtracted": 8, "linesSkipped": 0, "duplicatesRemoved": 1, "outOfScope": {"events": 1, "tokens": 110}}
+    assert doc["ok"] and doc["unknownModels"] == ["mystery"] and [(c["name"], c["status"]) for c in doc["checks"] if c["status"] != "ok"] == [("models", "warn")]
+    assert doc["adapters"][0] == {"id": "claude-code", "root": logs, "files": 1, "bytes": os.path.getsize(f"{logs}/projects/p/s.jsonl"), "schemaVerified": True}
     assert json.loads(sinks.to_json(told))["schemaVersion"] == 1
     assert "cache reads" in text_reports.summary(told) and "b.py" in text_reports.show(show) and "r1: $" in text_reports.range_(span) and "-93.0%" in text_reports.reprice(again)
     with pytest.raises(UserError):
@@ -95,6 +97,69 @@ def test_reports(spark, world):
         eng.reprice("nothing")
 
 
+def pull(*oids):
+    return {"number": 7, "title": "t", "baseRefName": "main", "headRefName": "x", "commits": [{"oid": o} for o in oids]}
+
+
+HEAD = {"schemaVersion", "command", "costledger", "repoRoot", "plan", "pricing", "invariant", "warnings"}
+BUCKET = {"cost", "tokens", "sessions"}
+
+
+def test_json_shapes(spark, world):
+    """The keys that scripts read, command by command."""
+    repo, logs, a, b = world
+    eng = Engine.build(spark, repo.path, {"claude-code": logs}, PRICES)
+    told = eng.summary()
+    assert set(told) == HEAD | {"scope", "totals", "byModel", "cacheEfficiency", "waste", "inProgress", "overhead", "covered"}
+    assert set(told["invariant"]) == {"ok", "totalTokens", "attributed", "waste", "overhead", "outOfScope", "deltaTokens"} and told["pricing"] == {"asOf": "2026-01-01", "origin": "bundled"}
+    assert set(told["waste"]) == set(told["inProgress"]) == BUCKET and set(told["totals"]) == {"cost", "costBreakdown", "tokens", "events", "unpricedEvents", "unpricedTokens"}
+    assert sum(told["invariant"][k] for k in ("attributed", "waste", "overhead", "outOfScope")) == told["invariant"]["totalTokens"]
+    log = eng.log()
+    assert set(log) == HEAD | {"range", "maxCount", "inProgress", "commits", "totals"} and set(log["inProgress"]) == BUCKET | {"events", "newestTs"} and log["inProgress"]["newestTs"] == "2026-01-03T12:00:00.000Z"
+    assert {"hash", "date", "subject", "cost", "confidence", "models", "sessions", "events", "tokens"} <= set(log["commits"][0]) and log["commits"][0]["tokens"]["total"] == 110
+    span = eng.range(f"{a}..{b}")
+    assert set(span) == HEAD | {"range", "label", "headline", "totals", "byModel", "commits", "span", "waste", "overhead", "revListCommits"} and set(span["overhead"]) == BUCKET
+    again = eng.reprice("boreal")
+    assert set(again) == HEAD | {"target", "scope", "repriced", "measured", "deltaPct", "cacheFallback", "label"} and again["measured"]["unpricedTokens"]["input"] == 7 and again["scope"]["tokens"]["total"] == told["totals"]["tokens"]["total"]
+    show = eng.show(b)
+    assert set(show["unpricedTokens"].values()) == {0} and {"ref", "commit", "attributed", "sessions", "byModel", "subagents", "evidence", "adoptedEvents", "advisoryEvents", "filesMatched"} <= set(show)
+    out = eng.report(f"{repo.path}/../LEDGER.md")
+    assert set(out) == HEAD | {"out", "commits"} and out["commits"] == 2
+    text = open(out["out"], encoding="utf-8").read()
+    for fact in ("prices: 2026-01-01 (bundled)", "**measured**", "| tokens | input |", "Provenance of the calls: 5 measured, 0 repriced, 1 advisory.", "Not priced: 7 tokens of 1 calls", "## Method", "in progress"):
+        assert fact in text, fact
+    with pytest.raises(FileExistsError):
+        eng.report(out["out"])
+    assert eng.short_models() == {"atlas-4": "atlas-4", "mystery": "mystery"} and "human?" in eng.log_text(span=f"{b}..{b}") + "human?"
+    eng.ledger.rows = eng.ledger.rows.where("id <> 'm2:q2'")
+    assert eng.summary()["accountingMismatch"] == {"tokens": 110}
+
+
+def test_default_places(spark, tmp_path, monkeypatch):
+    repo = Repo(f"{tmp_path}/repo")
+    repo.commit("first", "2026-01-01T10:00:00+00:00", "a.py")
+    write(f"{tmp_path}/home/.claude/projects/p/s.jsonl", [used(repo, 1, "2026-01-01T09:00:00Z")])
+    write(f"{tmp_path}/other/projects/p/s.jsonl", [used(repo, i, "2026-01-01T09:00:00Z") for i in (1, 2)])
+    history = ["# aider chat started at 2026-01-01 09:00:00", "> Model: atlas-4 with diff edit format", "> Tokens: 100 sent, 10 received."]
+    for path in (f"{repo.path}/.aider.chat.history.md", f"{tmp_path}/more.md"):
+        write(path, history)
+    monkeypatch.setenv("HOME", f"{tmp_path}/home")
+    monkeypatch.setenv("COSTLEDGER_AIDER_HISTORY", f"{tmp_path}/more.md")
+    count = lambda eng: {r["id"]: r["files"] for r in eng.doctor()["adapters"]}
+    eng = Engine.build(spark, repo.path, None, PRICES)
+    assert count(eng) == {"claude-code": 1, "codex": 0, "gemini-cli": 0, "aider": 2}
+    assert [c["name"] for c in eng.doctor()["checks"] if c["status"] == "warn"] == ["adapter codex", "adapter gemini-cli", "aider precision"]
+    monkeypatch.setenv("COSTLEDGER_CLAUDE_DIR", f"{tmp_path}/other")
+    assert Engine.build(spark, repo.path, {"claude-code": None}, PRICES).summary()["totals"]["events"] == 2
+    assert Engine.build(spark, repo.path, {"claude-code": f"{tmp_path}/home/.claude"}, PRICES).summary()["totals"]["events"] == 1
+
+
+def test_first_adapter_claims_a_file(spark):
+    usage = spark.createDataFrame([("f", "codex", 1), ("f", "claude-code", 2), ("g", "codex", 3)], "source_file string, agent string, n int")
+    kept, stats = adapters.claimed(usage, usage, ["claude-code", "codex"])
+    assert {r.n for r in kept.collect()} == {r.n for r in stats.collect()} == {2, 3}
+
+
 def test_notes_and_pr(spark, world):
     repo, logs, a, b = world
     repo.git("notes", "add", "-m", "mine", a)
@@ -115,9 +180,12 @@ def test_notes_and_pr(spark, world):
         else:
             comments[0].update(data)
 
-    assert eng.pr(7, [b, "absent"], forge)["comment"] == "created" and eng.pr(7, [b, "absent"], forge)["comment"] == "unchanged"
-    out = eng.pr(7, [a, b], forge)
-    assert out["comment"] == "updated" and len(comments) == 1 and [c["hash"] for c in out["commits"]] == [a, b]
+    assert eng.pr(pull(b, "absent"), forge)["comment"] == "created" and eng.pr(pull(b, "absent"), forge)["comment"] == "unchanged"
+    out = eng.pr(pull(a, b, "absent"), forge)
+    assert out["comment"] == "updated" and len(comments) == 1 and [c["hash"] for c in out["byCommit"]] == [a, b, "absent"] and out["byCommit"][2] == {"hash": "absent", "inScope": False, "cost": None, "tokens": 0}
+    assert out["pr"] == {"number": 7, "title": "t", "base": "main", "head": "x", "commits": 3, "commitsInScope": 2} and out["tokens"]["total"] == sum(c["tokens"] for c in out["byCommit"]) and eng.pr(pull(a))["comment"] is None
+    with pytest.raises(UserError):
+        eng.pr({"number": 7})
 
 
 def test_window_and_tamper(spark, world):
@@ -149,7 +217,7 @@ def test_empty_repository(spark, tmp_path):
     repo = Repo(f"{tmp_path}/repo")
     write(f"{tmp_path}/logs/projects/p/s.jsonl", [used(repo, 1, "2026-01-01T10:00:00Z", files=["x.py"])])
     eng = Engine.build(spark, repo.path, {"claude-code": f"{tmp_path}/logs"}, PRICES)
-    assert eng.log()["commits"] == [] and eng.summary()["inProgress"]["events"] == 1
+    assert eng.log()["commits"] == [] and eng.summary()["inProgress"]["sessions"] == 1
 
 
 def test_incremental_is_cold(spark, tmp_path):
@@ -203,11 +271,12 @@ def test_config(tmp_path):
 
 def test_formats():
     assert [sinks.format_tokens(n) for n in (0, 9999, 10000, 999_949, 999_950, 3_200_000, 999_960_000)] == ["0", "9,999", "10.0k", "999.9k", "1.0M", "3.2M", "1.0B"]
-    assert sinks.format_bytes(1023) == "1023 B" and sinks.format_bytes(1536) == "1.5 KiB"
+    assert [sinks.format_tokens(n) for n in (10_250, 10_249, 1_250_000, 1_234_500_000_000)] == ["10.3k", "10.2k", "1.3M", "1,234.5B"]
+    assert sinks.format_bytes(1023) == "1023 B" and sinks.format_bytes(1536) == "1.5 KB" and sinks.format_bytes(5 * 2**30) == "5.0 GB"
     assert money.format_usd(-1_234_565_000_000) == "-$1,234.56" and money.format_usd(1_234_575_000_000) == "$1,234.58" and money.usd_string(5_000_001) == "0.01"
     assert sinks.table([("a", "right"), ("b", "left")], [["1", "x"], ["22", ""]]) == " a  b\n--  -\n 1  x\n22"
     now = 1_767_225_600_000 + 5_000_000
     assert sinks.parse_date("today", now) == 1_767_225_600_000 and sinks.parse_date("2 months ago", now) == now - 60 * 86_400_000 and sinks.parse_date("2026-01-01", now) == 1_767_225_600_000
     with pytest.raises(ValueError):
         sinks.parse_date("whenever", now)
-    assert sinks.iso_utc(1) == "1970-01-01T00:00:00.001Z" and sinks.truncate("abcdef", 4) == "abc…" and sinks.local_time(0, "Asia/Tokyo") == "1970-01-01 09:00 +0900"
+    assert sinks.iso_utc(1) == "1970-01-01T00:00:00.001Z" and sinks.truncate("abcdef", 4) == "abc…" and sinks.local_time(0, "Asia/Tokyo") == "1970-01-01 09:00:00 +09:00" and sinks.local_time(1500, "UTC") == "1970-01-01 00:00:01 +00:00"

@@ -141,7 +141,7 @@ def test_codex(spark, tmp_path):
 # --- gemini form ------------------------------------------------------------------------------------
 
 
-def test_gemini(spark, tmp_path):
+def test_gemini(spark, tmp_path, monkeypatch):
     say = lambda i, **m: {"id": i, "timestamp": "2026-01-01T00:00:00Z", "type": "gemini", "model": "cirrus", "tokens": {"input": 10, "cached": 4, "output": 2, "thoughts": 3, "tool": 9}, **m}
     calls = [{"name": "replace", "args": {"file_path": "src/a"}}, {"name": "write_file", "args": {"file_path": "/x/b"}}, {"name": "read", "args": {"file_path": "/no"}}, {"name": "replace", "args": None}, 5]
     rows = [
@@ -163,6 +163,11 @@ def test_gemini(spark, tmp_path):
     first = next(e for e in events(found) if e["id"] == "G:1" and e["edited_files"])
     assert first["edited_files"] == ["/marker/src/a", "/x/b"] and (first["input"], first["output"], first["cache_read"]) == (6, 5, 4)
     assert got["sub.jsonl", "sub:7", 0]["is_sidechain"] and got["o.jsonl", "o:8", 0]["cwd"] == "/aa" and got["o.jsonl", "o:8", 0]["is_sidechain"]
+    files = {os.path.basename(r.source_file): r for r in gemini.read(spark, f"file://{root}")[1].collect()}
+    assert len(files) == 5 and all(r.source_file.startswith("file:///") for r in files.values())
+    monkeypatch.setattr(gemini, "MAX_DOCUMENT_BYTES", os.path.getsize(f"{root}/tmp/slug/chats/old.json"))
+    few, refused = gemini.read(spark, root)
+    assert "L:9" not in {e["id"] for e in events(few)} and [os.path.basename(r.source_file) for r in refused.where("refused").collect()] == ["old.json"]
     told = stats(told)
     assert told["c.jsonl"][:3] == (14, 4, 6) and told["sub.jsonl"][:3] == (2, 1, 1) and told["old.json"][:3] == (4, 1, 2) and told["bad.json"][:3] == (1, 0, 1)
 
@@ -221,7 +226,7 @@ def test_prices(spark, tmp_path):
     path = f"{tmp_path}/p.json"
     write(path, [{**good, "more": 1}])
     frame, origin, warned = prices.load(spark, good, path)
-    assert origin == "user" and len(warned) == 1 and frame.count() == 1
+    assert origin == {"asOf": "2026-01-01", "origin": "refreshed"} and len(warned) == 1 and frame.count() == 1
     write(path, [{**good, "models": {"m": {"displayName": "M", "inputPerMTok": "-5", "outputPerMTok": "1"}}}])
     assert prices.load(spark, good, path)[1] == "bundled"
     assert [prices.per_million(x) for x in (1.5e-5, 3e-6, 4.35e-7, 0, 1e-16)] == ["15", "3", "0.435", "0", "0"] and prices.per_million(5.5e-16) == "0.000000001"

@@ -228,13 +228,13 @@ def test_prices(spark, tmp_path):
     frame, origin, warned = prices.load(spark, good, path)
     assert origin == {"asOf": "2026-01-01", "origin": "refreshed"} and len(warned) == 1 and frame.count() == 1
     write(path, [{**good, "models": {"m": {"displayName": "M", "inputPerMTok": "-5", "outputPerMTok": "1"}}}])
-    assert prices.load(spark, good, path)[1] == "bundled"
+    assert prices.load(spark, good, path)[1]["origin"] == "bundled"
     assert [prices.per_million(x) for x in (1.5e-5, 3e-6, 4.35e-7, 0, 1e-16)] == ["15", "3", "0.435", "0", "0"] and prices.per_million(5.5e-16) == "0.000000001"
     row = lambda **k: {"litellm_provider": "openai", "mode": "chat", "input_cost_per_token": 1e-6, "output_cost_per_token": 2e-6, **k}
     feed = {"gpt-9": row(cache_read_input_token_cost=-1), "azure/gpt-9": row(), "o3": row(mode="image"), "claude-x": row(litellm_provider="anthropic"), "gemini/gemini-1": row(litellm_provider="gemini"), "qq/qwen-coder": row(litellm_provider="alibaba"), "sample_spec": row(), "gpt-bad": row(input_cost_per_token="1"), "gpt-none": {"litellm_provider": "openai", "mode": "chat"}}
     got = prices.convert_feed(feed)
     assert set(got) == {"gpt-9", "claude-x", "gemini-1", "qwen-coder"} and "cacheReadPerMTok" not in got["gpt-9"]
     prices.refresh(f"{tmp_path}/new/t.json", lambda: feed, "2026-01-02", "feed")
-    assert prices.load(spark, good, f"{tmp_path}/new/t.json")[1] == "user"
+    assert prices.load(spark, good, f"{tmp_path}/new/t.json")[1] == {"asOf": "2026-01-02", "origin": "refreshed"}
     with pytest.raises(prices.PriceError):
         prices.refresh(f"{tmp_path}/new/t.json", dict, "2026-01-02", "feed")

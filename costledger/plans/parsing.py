@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonv import count, parse
 from ..functions.paths import collapse_rename
-from ..sources import aider, claude, codex, gemini, gitlog
+from ..sources import adapters, aider, claude, codex, gemini, gitlog, lines, prices
 from ..sources.usage import exploded
 from . import demo
 from .queries import query
@@ -110,8 +110,8 @@ def codex_pending_edits(spark, sf_dir):
 def gemini_tokens(spark, sf_dir):
     say = '{"id":@e@,"timestamp":"@stamp@","type":"gemini","model":"cirrus","tokens":{"input":@k@,"output":@k3@,"thoughts":5'
     text = _pick((_E(9), '{"type":"info"}'), (_E(2), say + "}}"), last=say + ',"cached":@k3@}}')
-    lines = _lines(spark, sf_dir, text, F.lit(False).alias("nested"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("fallback"), F.lit(None).cast("string").alias("cwd"))
-    return exploded(gemini.classify(lines)).select("id", "input", "output", "cache_read", (F.col("line_no") % 2 == 0).alias("even"))
+    rows = _lines(spark, sf_dir, text, F.lit(False).alias("nested"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("fallback"), F.lit(None).cast("string").alias("cwd"))
+    return exploded(gemini.classify(rows)).select("id", "input", "output", "cache_read", (F.col("line_no") % 2 == 0).alias("even"))
 
 
 @query("SELECT e AS event_id, CASE WHEN e % 3 = 0 THEN k * 1000 + (e % 10) * 100 WHEN e % 3 = 1 THEN k END AS n FROM b", _B)
@@ -153,3 +153,117 @@ def git_log_parse(spark, sf_dir):
     value = F.concat(_text("h@e@\x1f"), parents, _text("\x1f@stamp@\x1fsubject\x1f"), source, _text("\n@k@\t@k3@\tf@k@\n-\t-\tbin\nnoise"))
     log = demo.base(spark, sf_dir).select(value.alias("value"), e.alias("pos"))
     return gitlog.parse_log(log, True).select("hash", "files", "insertions", "deletions", "is_merge", "author_ts_ms", "branch_hint")
+
+
+@query("""SELECT e AS line_no, 's' || u || ':' || stamp || ':' || substr(sha256('{"cache_read_input_tokens":5,"input_tokens":' || k * 3 || ',"output_tokens":' || k || '}'), 1, 16) AS id
+ FROM (SELECT *, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM b) WHERE e % 6 <> 0""", _B)
+def claude_ids(spark, sf_dir):
+    """Records without ids of their own: by session, time and the hash of their canonical usage.  Those
+    that stand for failed calls are left out."""
+    text = '{"type":"assistant","sessionId":"s@u@","timestamp":"@stamp@","message":{"model":"%s","usage":{"output_tokens":@k@,"input_tokens":@k3@.0,"cache_read_input_tokens":5}}}'
+    rows = _lines(spark, sf_dir, _pick((_E(6), text % claude.SYNTHETIC), last=text % "atlas-4"))
+    return exploded(claude.classify(rows)).select("line_no", "id")
+
+
+@query("""SELECT e AS line_no, coalesce('S' || m.e, '/x/tmp/p/chats/u' || u || '.jsonl') AS session_id, coalesce(model, '') AS model, CASE WHEN m.e % 5 <> 0 THEN 'b' || m.k END AS git_branch, coalesce(m.e % 2 = 0 OR m.e % 3 = 0, false) AS is_sidechain
+ FROM (SELECT *, last_value(CASE WHEN t = 'purchase' THEN {'e': e, 'k': k} END IGNORE NULLS) OVER w AS m, last_value(CASE WHEN t = 'click' AND e % 7 <> 0 THEN 'm' || k END IGNORE NULLS) OVER w AS model FROM b WINDOW w AS (PARTITION BY u ORDER BY e)) WHERE t NOT IN ('purchase', 'click')""", _B)
+def codex_state(spark, sf_dir):
+    """Session, model, branch and subagent as the lines before a call tell them."""
+    meta = '{"type":"session_meta","payload":{"id":"S@e@"%s}}'
+    branch, sub, nested = ',"git":{"branch":"b@k@"}', ',"thread_source":"subagent"', ',"source":{"subagent":{"n":1}}'
+    is_meta = F.col("event_type") == "purchase"
+    cases = []
+    for five in (True, False):
+        for two in (True, False):
+            for three in (True, False):
+                is_case = is_meta & (_E(5) == F.lit(five)) & (_E(2) == F.lit(two)) & (_E(3) == F.lit(three))
+                cases.append((is_case, meta % (("" if five else branch) + (sub if two else "") + (nested if three else ',"source":"cli"'))))
+    turn = F.col("event_type") == "click"
+    cases += [(turn & _E(7), '{"type":"turn_context","payload":{}}'), (turn, '{"type":"turn_context","payload":{"model":"m@k@"}}')]
+    found = exploded(codex.classify(_lines(spark, sf_dir, _pick(*cases, last=_COUNT))))
+    return found.select("line_no", "session_id", "model", "git_branch", "is_sidechain")
+
+
+def _gemini(spark, sf_dir) -> DataFrame:
+    """A file's first line is its metadata; then patches with a bad member, rewinds, and messages."""
+    head = F.col("event_id") == F.min("event_id").over(Window.partitionBy("user_id"))
+    say = '{"id":@e@,"timestamp":"@stamp@","type":"gemini","model":"cirrus","tokens":{"input":@k@,"output":1}'
+    text = _pick(
+        (head & _E(2), '{"sessionId":"G@e@","kind":"main"}'), (head, '{"sessionId":"G@e@","kind":"sub"}'),
+        (_E(4), '{"$set":{"messages":[{"type":"user"},3,' + say + "}]}}"), (F.col("event_id") % 4 == 1, '{"$rewindTo":"@e@"}'),
+        last=say + ',"toolCalls":[{"name":"replace","args":{"file_path":"a@k@"}},{"name":"read_file","args":{"file_path":"b"}}]}',
+    )
+    return gemini.classify(_lines(spark, sf_dir, text, F.lit(False).alias("nested"), F.lit("name").alias("fallback"), F.lit("/p").alias("cwd")))
+
+
+_GEMINI = _B + ", g AS (SELECT *, min(e) OVER (PARTITION BY u) AS head FROM b)"
+
+
+@query("SELECT e AS line_no, CAST(0 AS INTEGER) AS sub_no, 'G' || head || ':' || e AS id, k AS input, CASE WHEN e % 4 = 0 THEN [] ELSE ['/p/a' || k] END AS edited_files, head % 2 <> 0 AS is_sidechain FROM g WHERE e <> head AND e % 4 <> 1", _GEMINI)
+def gemini_lines(spark, sf_dir):
+    return exploded(_gemini(spark, sf_dir)).select("line_no", "sub_no", "id", "input", "edited_files", "is_sidechain")
+
+
+@query("SELECT CASE WHEN e = head OR e % 4 = 1 THEN 'ignored' WHEN e % 4 = 0 THEN 'malformed' ELSE 'event' END AS outcome, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (e <> head AND e % 4 <> 1) AS BIGINT) AS events FROM g GROUP BY 1", _GEMINI)
+def gemini_outcomes(spark, sf_dir):
+    """A line with a bad member counts as skipped once, and its good members stay."""
+    return _gemini(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("lines"), F.sum("n_events").alias("events"))
+
+
+@query("SELECT e AS event_id, 'p' || (u % 7) AS slug, e % 2 = 0 AS nested, 'u' || u AS fallback, CASE WHEN u % 7 < 4 THEN '/work/p' || (u % 7) END AS cwd FROM b", _B)
+def gemini_context(spark, sf_dir):
+    """Project, subagent and session by the path of a file, the working directory by its project."""
+    slug = F.concat(F.lit("p"), (F.col("user_id") % 7).cast("string"))
+    inner = F.when(_E(2), F.lit("parent/")).otherwise(F.lit(""))
+    path = F.concat(F.lit("/home/x/.gem/tmp/"), slug, F.lit("/chats/"), inner, F.lit("u"), F.col("user_id").cast("string"), F.when(_E(3), F.lit(".json")).otherwise(F.lit(".jsonl")))
+    roots = spark.createDataFrame([(f"p{i}", f"/work/p{i}") for i in range(4)], "slug string, cwd string")
+    return gemini.with_context(demo.base(spark, sf_dir).select("event_id", path.alias("source_file")), "/home/x/.gem", roots).select("event_id", "slug", "nested", "fallback", "cwd")
+
+
+@query("SELECT 'u' || u AS name, CAST(count(*) AS BIGINT) AS lines_read, CAST(count(*) FILTER (e % 7 <> 0 AND (e % 5 = 0 OR e % 3 <> 0)) AS BIGINT) AS events_extracted, CAST(count(*) FILTER (e % 7 = 0) AS BIGINT) AS lines_skipped, max(e) + 1 AS bytes_consumed FROM b GROUP BY u", _B)
+def file_statistics(spark, sf_dir):
+    told = lines.file_stats(_claude(spark, sf_dir), claude.AGENT)
+    return told.select(F.regexp_extract("source_file", r"(u\d+)\.jsonl$", 1).alias("name"), "lines_read", "events_extracted", "lines_skipped", "bytes_consumed")
+
+
+@query("""SELECT 'claude-code' AS agent, CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT u) AS BIGINT) AS files FROM b WHERE u % 2 = 0 AND e % 7 <> 0 AND (e % 5 = 0 OR e % 3 <> 0)
+ UNION ALL SELECT 'codex', CAST(count(*) AS BIGINT), CAST(count(DISTINCT u) AS BIGINT) FROM b WHERE u % 3 = 0 AND u % 2 <> 0 AND t NOT IN ('purchase', 'click')""", _B)
+def agents_union(spark, sf_dir):
+    """Two adapters' events together; a file that both find is the first one's."""
+    user = F.regexp_extract("source_file", r"u(\d+)\.jsonl$", 1).cast("bigint")
+    both = exploded(_claude(spark, sf_dir)).where(user % 2 == 0).unionByName(_codex(spark, sf_dir).where(user % 3 == 0))
+    stats = both.select("source_file", "agent").distinct()
+    # Every file of the first adapter is there to be claimed, also one without events.
+    stats = stats.unionByName(_lines(spark, sf_dir, F.lit("")).where(user % 2 == 0).select("source_file", F.lit(claude.AGENT).alias("agent")).distinct()).distinct()
+    kept, _ = adapters.claimed(both, stats, [claude.AGENT, codex.AGENT])
+    return kept.groupBy("agent").agg(F.count("*").alias("events"), F.count_distinct("source_file").alias("files"))
+
+
+@query("""SELECT b.e AS event_id FROM b JOIN (SELECT u, arg_max(t, (k, CASE t WHEN 'click' THEN 1 ELSE 0 END)) AS t, max(k) AS since FROM b WHERE t IN ('purchase', 'click') AND e % 3 = 0 GROUP BY u) m ON m.u = b.u AND m.t = 'purchase' AND b.k >= m.since WHERE NOT (b.t IN ('purchase', 'click') AND b.e % 3 = 0)""", _B)
+def live_lines(spark, sf_dir):
+    """Of what a stream has gathered, the lines that are in the files now: k is the generation; some
+    purchases begin a file anew, some clicks find it gone."""
+    marks = F.col("event_type").isin("purchase", "click") & _E(3)
+    status = F.when(marks, F.when(F.col("event_type") == "purchase", "begun").otherwise("gone")).otherwise("ok")
+    rows = _lines(spark, sf_dir, F.lit("x"), status.alias("_status"), F.col("k").alias("_generation"))
+    rows = rows.withColumn("status", F.col("_status")).withColumn("generation", F.col("_generation"))
+    return lines.latest(rows).select(F.col("offset").alias("event_id"))
+
+
+@query("SELECT e AS event_id, CASE e % 3 WHEN 0 THEN 'caf\u00e9' || k || chr(9) || '\"' WHEN 1 THEN 'plain' || k ELSE 'a\\b' || k END AS path FROM b", _B)
+def git_quoted_paths(spark, sf_dir):
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, _text('"caf\\303\\251@k@\\t\\""')).when(e % 3 == 1, _text("plain@k@")).otherwise(_text('"a\\\\b@k@"'))
+    return demo.base(spark, sf_dir).select("event_id", gitlog.unquoted(text).alias("path"))
+
+
+@query("""SELECT 'gpt-' || i AS model_id, CASE WHEN i % 10 = 0 THEN '' || (i // 10) ELSE (i // 10) || '.' || (i % 10) END AS input, '' || i AS output, CASE WHEN i % 4 <> 0 THEN '0.000' || lpad('' || i, 3, '0') END AS cache_read
+ FROM range(101, 400) r(i) WHERE i % 7 <> 0 AND i % 5 <> 0 AND i % 10 <> 0""")
+def price_feed(spark, sf_dir):
+    """A community feed as cards: other providers and modes go, bad cache prices are left out."""
+    feed = {}
+    for i in range(101, 400):
+        row = {"litellm_provider": "azure" if i % 5 == 0 else "openai", "mode": "image" if i % 7 == 0 else "chat", "input_cost_per_token": i / 1e7, "output_cost_per_token": i / 1e6}
+        feed[f"gpt-{i}"] = row | {"cache_read_input_token_cost": -1 if i % 4 == 0 else i / 1e12}
+    table, _ = prices.validate({"schemaVersion": 1, "asOf": "2026-01-01", "source": "feed", "models": prices.convert_feed(feed)})
+    return prices.to_frame(spark, table).select("model_id", "input", "output", "cache_read")

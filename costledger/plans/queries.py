@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DAY_MS, AttributionConfig
-from ..functions.money import CLASSES, cents_half_even
+from ..functions.money import CLASSES, cents_half_even, nano_to_usd
 from ..operators import attribution, events, pricing, rollup, tables
 from . import demo, reports
 from .ledger import Ledger
@@ -184,6 +184,13 @@ def half_even_usd(spark, sf_dir):
     return demo.table(spark, sf_dir, "orders").select("o_orderkey", cents_half_even(nano).cast("bigint").alias("cents"))
 
 
+@query("""SELECT o_orderkey, CAST(n AS VARCHAR) AS nano_usd, c // 100 || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS usd FROM (SELECT o_orderkey, n, n // 10000000 + CASE WHEN n % 10000000 > 5000000 OR (n % 10000000 = 5000000 AND (n // 10000000) % 2 = 1) THEN 1 ELSE 0 END AS c FROM
+ (SELECT o_orderkey, CAST(round(o_totalprice * 1e9) AS BIGINT) + o_orderkey * 1000003 AS n FROM orders))""")
+def money_texts(spark, sf_dir):
+    nano = (F.round(F.col("o_totalprice") * 1e9).cast("bigint") + F.col("o_orderkey") * 1000003).cast("decimal(38,0)")
+    return demo.table(spark, sf_dir, "orders").select("o_orderkey", nano.cast("string").alias("nano_usd"), nano_to_usd(nano).alias("usd"))
+
+
 # --- rollups ----------------------------------------------------------------------------------------
 
 
@@ -276,6 +283,38 @@ def reprice_delta(spark, sf_dir):
     return again.select("repo_id", rollup.delta_percent(F.col("m"), F.col("r")).alias("delta_pct"))
 
 
+_EARLY = "hash IN (SELECT hash FROM commits WHERE insertions < 40)"
+
+
+def _early(led: Ledger) -> DataFrame:
+    return led.commits.where("insertions < 40").select("repo_id", "hash")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS events, CAST(sum({_REPRICED}) AS BIGINT) AS repriced_total, CAST(sum(cost_total) AS BIGINT) AS measured_total FROM ledger WHERE kind = 'commit' AND {_EARLY}", LEDGER6)
+def reprice_range(spark, sf_dir):
+    led = _ledger(spark, sf_dir)
+    return _longs(reports.reprice(led, "boreal-2", hashes=_early(led)).select("events", "repriced_total", "measured_total"))
+
+
+@query(f"SELECT repo_id, id, kind, hash FROM ledger WHERE kind <> 'commit' OR {_EARLY}", LEDGER6)
+def report_rows(spark, sf_dir):
+    """What a range's markdown ledger is made of."""
+    led = _ledger(spark, sf_dir)
+    return reports.report_rows(led, _early(led)).select("repo_id", "id", "kind", "hash")
+
+
+@query("SELECT row_number() OVER (ORDER BY total_cost DESC, model) AS position, model, events, CASE WHEN priced > 0 THEN total_cost END AS cost FROM (SELECT model, CAST(count(*) AS BIGINT) AS events, count(cost_total) AS priced, CAST(coalesce(sum(cost_total), 0) AS BIGINT) AS total_cost FROM ledger GROUP BY 1)", LEDGER6)
+def report_models(spark, sf_dir):
+    """Models by cost, then by name; there are few of them."""
+    w = Window.orderBy(F.col("cost_total").desc(), "model")
+    return _longs(reports.models(_ledger(spark, sf_dir).rows).select(F.row_number().over(w).cast("bigint").alias("position"), "model", "events", "cost"))
+
+
+@query("SELECT repo_id, CAST(coalesce(sum(input) FILTER (cost_total IS NULL), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output) FILTER (cost_total IS NULL), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(cache_write) FILTER (cost_total IS NULL), 0) AS BIGINT) AS cache_write_tokens, CAST(coalesce(sum(cache_read) FILTER (cost_total IS NULL), 0) AS BIGINT) AS cache_read_tokens FROM ledger GROUP BY 1", LEDGER6)
+def unpriced_by_class(spark, sf_dir):
+    return _ledger(spark, sf_dir).rows.groupBy("repo_id").agg(*rollup.unpriced_tokens())
+
+
 @query("SELECT model, tokens FROM (SELECT model, CAST(sum(total) AS BIGINT) AS tokens FROM ledger GROUP BY 1) ORDER BY tokens DESC, model LIMIT 1", LEDGER)
 def top_model(spark, sf_dir):
     return rollup.top_model(_ledger(spark, sf_dir, None).rows)

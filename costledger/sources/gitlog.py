@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -73,9 +74,14 @@ def unquote(path: str) -> str:
     return out.decode("utf-8", "replace")
 
 
-@F.udf(StringType())
-def _unquote(path):
-    return unquote(path)
+@F.pandas_udf(StringType())
+def _unquote(paths: pd.Series) -> pd.Series:
+    return paths.map(unquote)
+
+
+def unquoted(path: Column) -> Column:
+    """``unquote`` of a column."""
+    return _unquote(path)
 
 
 def parse_log(text: DataFrame, with_source: bool = False) -> DataFrame:
@@ -114,6 +120,7 @@ def records(spark: SparkSession, log: str) -> DataFrame:
 def read(spark: SparkSession, repo: str, repo_id: str | None = None, all_refs: bool = False, span: str | None = None) -> DataFrame:
     """A repository's commits, newest first by ``enum_pos``; an empty one has none."""
     if has_head(repo):
+        # The options that decide what a line of the log looks like.
         args = ["-c", "core.quotepath=false", "-c", "log.showSignature=false", "-c", "diff.renames=true", "log"]
         if all_refs:
             args += [*([span] if span else []), "--exclude=refs/notes/*", "--exclude=refs/stash", "--all", "--source"]

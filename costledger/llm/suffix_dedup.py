@@ -15,9 +15,10 @@ fragments of one minimizer.
    settled as in 2; the others of the group are concatenated, and the suffix array (``suffix_array``)
    brings equal windows together.
 4. A minimizer with over ``GROUP`` different fragments does not fit that.  Its fragments are halved: the
-   windows that reach further to the minimizer's left go by a longer core that ends with it, the
-   others by one that begins with it, and steps 2 and 3 are repeated for these cores.  What still has
-   over ``GROUP`` fragments has its windows hashed singly (128 bits) and aggregated.
+   windows that reach further to the left of what they have in common go by a longer core on that side,
+   the others by one on the right, and steps 2 and 3 are repeated for these cores.  What is still too
+   large is halved again, in the end down to single windows, whose core is all of them: then a group
+   has one fragment, and step 2 settles it.
 """
 
 from __future__ import annotations
@@ -37,8 +38,6 @@ from .workspace import Workspace
 LENGTH, K = 100, 24
 #: Windows in a row that start in one K-gram's reach; a fragment has at most this many windows.
 SPAN = LENGTH - K + 1
-#: Bytes on one side of the minimizer that the windows of a half have in common.
-HALF = SPAN // 2
 #: Window starts of a text that are hashed at a time; below 2^24.
 BLOCK = 1 << 18
 #: Different fragments of one minimizer that one task sorts.
@@ -253,36 +252,56 @@ def _sorted_groups(cut: DataFrame) -> DataFrame:
 
 
 def _halves(cut: DataFrame) -> DataFrame:
-    """(h, doc, pos, bytes): each fragment's windows in two parts, under the hash of their longer core."""
+    """(h, doc, pos, bytes, l, r): each fragment's windows in two parts, under the hash of their longer core.
+
+    A core are the bytes that all windows of a group have in common: the minimizer, ``l`` bytes before and
+    ``r`` behind it."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for h, doc, pos, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for h, doc, pos, data, l, r in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 first, count, reach = _unpack(pos)
-                cut_at = min(count, max(0, reach - HALF + 1))
+                slack = LENGTH - K - l - r
+                more = (slack + 1) // 2
+                # The first windows reach ``more`` bytes beyond the core on its left; the others then
+                # reach at least ``slack + 1 - more`` beyond it on its right.
+                cut_at = min(count, max(0, reach - l - more + 1))
                 seed = h & 0xFFFFFFFFFFFFFFFF
-                for begin, end, core in ((0, cut_at, data[reach - HALF : reach + K] if cut_at else b""), (cut_at, count, data[reach : reach + K + HALF])):
+                for begin, end, a, b in ((0, cut_at, l + more, r), (cut_at, count, l, r + slack + 1 - more)):
                     if begin < end:
-                        key = xxhash.xxh3_64_intdigest(core, seed ^ (begin == 0 and cut_at > 0))
-                        out.append((key - (1 << 64) if key >> 63 else key, doc, _pack(first + begin, end - begin, reach - begin), data[begin : end + LENGTH - 1]))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "doc", "pos", "bytes"])
-
-    return cut.select("h", "doc", "pos", "bytes").mapInArrow(run, "h bigint, doc bigint, pos bigint, bytes binary")
-
-
-def _large_groups(cut: DataFrame, work: Workspace) -> DataFrame:
-    """(doc, start, end) from groups that do not fit a task, by halves and then by single windows."""
-    halves = work.table(_halves(cut).withColumns({"f": F.xxhash64("bytes"), "g": F.xxhash64(F.lit("second"), "bytes")}), "halves")
-    kinds = work.table(halves.groupBy("h", "f", "g").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")), "half-kinds")
-    both = work.table(halves.join(kinds.hint("merge"), ["h", "f", "g"]).withColumn("is_first", F.struct("doc", "pos") == F.col("first")).drop("first", "f", "g"), "half-rows")
-    equal = both.where("not is_first").select("doc", *_span())
-    mixed = work.table(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "half-mixed")
-    rest = work.table(both.where("is_first").join(mixed.hint("merge"), "h").select("h", "doc", "pos", "bytes", "kinds"), "half-cut")
-    small = _sorted_groups(rest.where(F.col("kinds") <= GROUP))
-    single = _single_windows(rest.where(F.col("kinds") > GROUP).select("h", "doc", "pos", "bytes"), work)
-    return equal.union(small).union(single)
+                        key = xxhash.xxh3_64_intdigest(data[reach - a : reach + K + b], seed ^ (a > l))
+                        out.append((key - (1 << 64) if key >> 63 else key, doc, _pack(first + begin, end - begin, reach - begin), data[begin : end + LENGTH - 1], a, b))
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "doc", "pos", "bytes", "l", "r"])
+
+    return cut.select("h", "doc", "pos", "bytes", "l", "r").mapInArrow(run, "h bigint, doc bigint, pos bigint, bytes binary, l int, r int")
+
+
+def _large_groups(cut: DataFrame, work: Workspace) -> DataFrame | None:
+    """(doc, start, end) from groups that do not fit a task, halved until they do; None if there are none.
+
+    A level has at most two rows per row of the one before and its cores are longer by half of what was
+    left, so there are at most eight."""
+    found, level = None, 0
+    cut = cut.withColumns({"l": F.lit(0), "r": F.lit(0)})
+    while cut.limit(1).count():
+        level += 1
+        name = lambda n: f"{n}-{level}"  # noqa: B023, E731
+        halves = work.table(_halves(cut).withColumns({"f": F.xxhash64("bytes"), "g": F.xxhash64(F.lit("second"), "bytes")}), name("halves"))
+        kinds = work.table(halves.groupBy("h", "f", "g").agg(F.min(F.struct("doc", "pos")).alias("first")), name("kinds"))
+        both = halves.join(kinds.hint("merge"), ["h", "f", "g"]).withColumn("is_first", F.struct("doc", "pos") == F.col("first")).drop("first", "f", "g")
+        both = work.table(both, name("rows"))
+        mixed = work.table(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), name("mixed"))
+        rest = work.table(both.where("is_first").join(mixed.hint("merge"), "h").select("h", "doc", "pos", "bytes", "l", "r", "kinds"), name("rest"))
+        done = work.table(both.where("not is_first").select("doc", *_span()).union(_sorted_groups(rest.where(F.col("kinds") <= GROUP))), name("found"))
+        found = done if found is None else found.union(done)
+        work.drop(name("halves"), name("kinds"), name("rows"), name("mixed"), f"rest-{level - 1}")
+        cut = rest.where(F.col("kinds") > GROUP).drop("kinds")
+    if level:
+        work.drop(f"rest-{level}")
+    return found
 
 
 def _span():
@@ -291,23 +310,6 @@ def _span():
     return start.alias("start"), (start + F.col("pos").bitwiseAND(F.lit(255)) + (LENGTH - 1)).alias("end")
 
 
-def _single_windows(cut: DataFrame, work: Workspace) -> DataFrame:
-    """(doc, start, end) of larger groups: a row per window, so that no key gathers in a task."""
-
-    def run(batches):
-        for batch in batches:
-            for doc, pos, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                first, count, _ = _unpack(pos)
-                digests = [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(count)]
-                w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), pa.array(np.full(count, doc, np.int64)), pa.array(np.arange(first, first + count))], ["a", "b", "doc", "at"])
-
-    rows = work.table(cut.mapInArrow(run, "a bigint, b bigint, doc bigint, at bigint"), "windows")
-    first = work.table(rows.groupBy("a", "b").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "windows-first")
-    later = rows.join(first.hint("merge"), ["a", "b"]).where(F.struct("doc", "at") != F.col("first"))
-    return later.select("doc", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-
-
 def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
     """``docs`` (doc bigint, text binary), doc unique.
 
@@ -324,9 +326,9 @@ def repeated_spans(docs: DataFrame, work: Workspace) -> DataFrame:
     cut = work.table(_cut(wanted.select("h", "doc", "pos"), docs).join(mixed.hint("merge"), "h"), "cut")
     work.drop("kinds", "mixed")
     sorted_ = work.table(_sorted_groups(cut.where(F.col("kinds") <= GROUP)), "sorted")
-    large = work.table(_large_groups(cut.where(F.col("kinds") > GROUP), work), "large")
-    work.drop("cut", "halves", "half-kinds", "half-rows", "half-mixed", "half-cut", "windows", "windows-first")
-    return equal.union(sorted_).union(large)
+    large = _large_groups(cut.where(F.col("kinds") > GROUP).drop("kinds"), work)
+    work.drop("cut")
+    return equal.union(sorted_) if large is None else equal.union(sorted_).union(large)
 
 
 def keyed(docs: DataFrame, work: Workspace) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from costledger.llm import suffix_dedup as S
@@ -88,3 +89,33 @@ def test_repeated_rows_hold_the_first_occurrence(spark, monkeypatch):
     assert digest(S.dedupe_bytes(df)) == repeated
     monkeypatch.setattr(S, "GROUP", 1)
     assert digest(S.dedupe_bytes(df)) == repeated
+
+
+def test_halves_keep_every_window():
+    """Down to single windows, whose core is the whole window."""
+    rnd = random.Random(17)
+    text = bytes(rnd.choice(b"abcdefgh ") for _ in range(700))
+    rows = [(h, first, count, reach) for h, first, count, reach in zip(*(x.tolist() for x in next(S.fragments(text))))]
+    want = sorted(a + i for _, a, n, _ in rows for i in range(n))
+
+    class Cut:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    level = [(1, 5, S._pack(a, n, r), text[a : a + n + 99], 0, 0) for _, a, n, r in rows]
+    for turn in range(8):
+        cols = [pa.array(c, t) for c, t in zip(zip(*level), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()))]
+        (out,) = S._halves(Cut()).run([pa.RecordBatch.from_arrays(cols, list("abcdef"))])
+        level = list(zip(*(c.to_pylist() for c in out.columns)))
+        got = []
+        for _, doc, pos, data, left, right in level:
+            first, count, reach = S._unpack(pos)
+            assert data == text[first : first + count + 99]
+            assert all(s <= first + reach - left and s + 100 >= first + reach + S.K + right for s in range(first, first + count))
+            got += range(first, first + count)
+        assert sorted(got) == want
+    assert all(left + right + S.K == 100 and S._unpack(pos)[1] == 1 for _, _, pos, _, left, right in level)

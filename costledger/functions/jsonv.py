@@ -21,7 +21,17 @@ def parse(text: Column) -> Column:
 
 
 def at(v: Column, path: str = "$") -> Column:
-    return F.try_variant_get(v, path, "variant")
+    return v if path == "$" else F.try_variant_get(v, path, "variant")
+
+
+def fields(v: Column, path: str, **kinds: str) -> Column:
+    """Some fields of the object at a path, looked up together and nothing else copied; null for any
+    other type.  A field that is absent, or not of its kind, is null; a JSON null stays a variant."""
+    return F.try_variant_get(v, path, struct_of(**kinds))
+
+
+def struct_of(**kinds: str) -> str:
+    return f"struct<{','.join(f'{name}:{kind}' for name, kind in kinds.items())}>"
 
 
 def absent(v: Column, path: str) -> Column:

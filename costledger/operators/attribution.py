@@ -38,8 +38,11 @@ def _score(file: Column, time: Column, branch: Column, cfg: AttributionConfig) -
     return (F.lit(cfg.weight_file) * file + F.lit(cfg.weight_time) * time) + F.lit(cfg.weight_branch) * branch
 
 
-def file_candidates(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) -> DataFrame:
-    """(repo_id, id, hash, ..., hits): commits in the window that share a file with an edit event.
+PAIR = ["repo_id", "id", "ts_ms", "git_branch", "n_rel", "hash", "author_ts_ms", "branch_hint"]
+
+
+def _pairs(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) -> DataFrame:
+    """(PAIR): a row for each file that an edit event shares with a commit in its window.
 
     An equi-join on repository, file and time bucket.  A bucket is a fourteenth of the window, and a commit
     is in each that its events can be in: a file that every commit touches is spread over many keys,
@@ -52,8 +55,16 @@ def file_candidates(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig
     reach = F.sequence(bucket(at - cfg.horizon_ms), bucket(at + cfg.grace_ms))
     right = targets(commits).select("repo_id", "hash", "author_ts_ms", "branch_hint", F.explode(F.array_distinct("files")).alias("file")).withColumn("b", F.explode(reach))
     near = at.between(F.col("ts_ms") - cfg.grace_ms, F.col("ts_ms") + cfg.horizon_ms)
-    pairs = left.join(right, ["repo_id", "file", "b"]).where(near)
-    return pairs.groupBy("repo_id", "id", "ts_ms", "git_branch", "n_rel", "hash", "author_ts_ms", "branch_hint").agg(F.count("*").alias("hits"))
+    return left.join(right, ["repo_id", "file", "b"]).where(near).select(*PAIR)
+
+
+def file_candidates(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) -> DataFrame:
+    """(PAIR, hits): commits in the window that share files with an edit event, and how many.
+
+    An event of one file meets a commit once, so its pairs are not shuffled to be counted."""
+    size = F.size(F.array_distinct("rel_files"))
+    one = _pairs(edits.where(size == 1), commits, cfg).withColumn("hits", F.lit(1).cast("bigint"))
+    return one.unionByName(_pairs(edits.where(size > 1), commits, cfg).groupBy(*PAIR).agg(F.count("*").alias("hits")))
 
 
 def file_match(edits: DataFrame, commits: DataFrame, cfg: AttributionConfig) -> DataFrame:

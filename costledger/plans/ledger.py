@@ -42,8 +42,33 @@ def build(usage: DataFrame, commits: DataFrame, price_table: DataFrame, root, cf
     return Ledger(usage.sparkSession, tables.written(rows, folder, "ledger"), kept, tally, commits, cards)
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple | None:
+    """Names, sizes and times of a table's files, or None if a session cannot tell them."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return None
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))) if fs.exists(at) else None
+
+
+#: (application, tables, settings) -> (stamps of input and ledger, ledger)
+_BUILT: dict[tuple, tuple] = {}
+
+
 def demo(spark: SparkSession, sf_dir: str, cfg: AttributionConfig | None = None) -> Ledger:
-    """The ledger of the driver's tables."""
+    """The ledger of the driver's tables.
+
+    It is built once in a session and settings, as an engine's is, and reports read it; it is built again
+    where the events table or the written ledger is no longer the one that it was."""
     from . import demo as d
 
-    return build(d.raw_usage(spark, sf_dir), d.commits(spark, sf_dir), d.price_table(spark), F.concat(F.lit("/r/"), F.col("repo_id").cast("string")), cfg)
+    key = (spark.sparkContext.applicationId, sf_dir, cfg or AttributionConfig())
+    source = f"{sf_dir}/events.parquet"
+    known = _BUILT.get(key)
+    if known and None not in known[0] and known[0] == (_stamp(spark, source), _stamp(spark, f"{known[1]}/ledger")):
+        return known[2]
+    folder = tables.store(spark)
+    built = build(d.raw_usage(spark, sf_dir), d.commits(spark, sf_dir), d.price_table(spark), F.concat(F.lit("/r/"), F.col("repo_id").cast("string")), cfg, folder)
+    _BUILT[key] = ((_stamp(spark, source), _stamp(spark, f"{folder}/ledger")), folder, built)
+    return built

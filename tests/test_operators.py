@@ -1,4 +1,5 @@
 import random
+import shutil
 from decimal import Decimal
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from costledger.functions import money as M
 from costledger.operators import events, pricing, rollup
+from costledger.plans import ledger as ledgers
 from costledger.plans import queries as Q
 from tests.oracle import same
 
@@ -58,3 +60,19 @@ def test_scope_and_paths(spark):
     assert [tuple(r) for r in got] == [(True, ["a", "c/d"]), (True, []), (False, []), (False, [])]
     files = spark.createDataFrame([("p", 2, "b"), ("p", 1, "a"), ("q", 2, "b")], "source_file string, adapter_rank int, agent string")
     assert {(r.source_file, r.agent) for r in events.first_adapter(files).collect()} == {("p", "a"), ("q", "b")}
+
+
+def test_ledger_is_built_again_for_other_tables(spark, tmp_path):
+    """One build in a session; another one where the input or the written ledger has changed."""
+    source = spark.read.parquet(f"{SF}/events.parquet")
+    write = lambda n: source.where(f"event_id < {n}").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    write(300)
+    first = ledgers.demo(spark, str(tmp_path))
+    assert ledgers.demo(spark, str(tmp_path)) is first and ledgers.demo(spark, str(tmp_path), Q.SIX_HOURS) is not first
+    n = first.raw.count()
+    write(200)
+    second = ledgers.demo(spark, str(tmp_path))
+    assert second is not first and second.raw.count() < n
+    shutil.rmtree(second.rows.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
+    third = ledgers.demo(spark, str(tmp_path))
+    assert third is not second and third.rows.count() == third.raw.count()

@@ -115,8 +115,9 @@ class Engine:
         there any more counts by its name."""
         folders = usage.select(F.col("cwd").alias("p")).union(usage.select(F.explode("edited_files").alias("q")).select(F.regexp_replace("q", "/[^/]*$", "")))
         spark = usage.sparkSession
-        real = {r.p: os.path.realpath(r.p) for r in folders.distinct().where("p like '/%'").toLocalIterator()}
-        links = spark.createDataFrame([(p, q) for p, q in real.items() if p != q], "p string, q string")
+        # The folders pass by one partition at a time, and only those that are links are kept.
+        found = ((r.p, os.path.realpath(r.p)) for r in folders.distinct().where("p like '/%'").toLocalIterator())
+        links = spark.createDataFrame([pair for pair in found if pair[0] != pair[1]], "p string, q string")
         moved = usage.join(links, usage.cwd == links.p, "left").withColumn("cwd", F.coalesce("q", "cwd")).drop("p", "q")
         key = ["source_file", "line_no", "sub_no", "id"]
         parts = moved.select(*key, F.posexplode("edited_files").alias("n", "f")).withColumn("d", F.regexp_replace("f", "/[^/]*$", ""))

@@ -44,9 +44,15 @@ def breakdown(prefix: str = "cost_") -> list[Column]:
     return [*[v.alias(f"{prefix}{c}") for c, v in parts.items()], total.alias(f"{prefix}total")]
 
 
-def price(events: DataFrame, price_cards: DataFrame) -> DataFrame:
-    """``events`` with price_id, display_name, card prices and costs; all null for an unknown model."""
-    known = match_models(events.select("model").distinct(), price_cards).withColumnRenamed("model_id", "price_id")
+def known_models(events: DataFrame, price_cards: DataFrame) -> DataFrame:
+    """The models of ``events`` with their cards, as ``price`` takes them."""
+    return match_models(events.select("model").distinct(), price_cards).withColumnRenamed("model_id", "price_id")
+
+
+def price(events: DataFrame, price_cards: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``events`` with price_id, display_name, card prices and costs; all null for an unknown model.  ``known`` has
+    ``known_models`` of them if the caller has found these already."""
+    known = known_models(events, price_cards) if known is None else known
     return events.join(known, "model", "left").select(*events.columns, "price_id", "display_name", "input_nano", "cache_read_nano", "cache_fallback", *breakdown())
 
 

@@ -3,7 +3,7 @@
 import random
 
 from costledger.config import DAY_MS, AttributionConfig
-from costledger.operators import attribution
+from costledger.operators import attribution, tables
 
 EVENT = "repo_id string, id string, session_id string, ts_ms long, git_branch string, rel_files array<string>"
 COMMIT = "repo_id string, hash string, parents array<string>, author_ts_ms long, branch_hint string, files array<string>, is_merge boolean"
@@ -65,11 +65,11 @@ def plain(evs, commits, cfg):
     return done
 
 
-def run(spark, cases, cfg=None):
+def run(spark, cases, cfg=None, attribute=attribution.attribute):
     cfg = cfg or AttributionConfig()
     evs = [(k, e["id"], e["session_id"], e["ts_ms"], e["git_branch"], e["rel_files"]) for k, (es, _) in cases.items() for e in es]
     cs = [(k, c["hash"], c["parents"], c["author_ts_ms"], c["branch_hint"], c["files"], c["is_merge"]) for k, (_, cc) in cases.items() for c in cc]
-    got = attribution.attribute(spark.createDataFrame(evs, EVENT), spark.createDataFrame(cs, COMMIT), cfg)
+    got = attribute(spark.createDataFrame(evs, EVENT), spark.createDataFrame(cs, COMMIT), cfg)
     found = {(r.repo_id, r.id): (r.kind, r.hash, r.confidence, r.provenance, r.adopted_from, r.in_progress) for r in got.collect()}
     want = {(k, i): v for k, (es, cc) in cases.items() for i, v in plain(es, cc, cfg).items()}
     assert len(found) == len(evs)
@@ -181,3 +181,39 @@ def test_sets_in_any_order_and_weights(spark):
         cfg = AttributionConfig(weight_file=weights[0], weight_time=weights[1], weight_branch=weights[2])
         got = run(spark, cases, cfg)
         assert got["last in window", "a"][2] == "high"
+
+
+def histories(seed, cases):
+    rnd = random.Random(seed)
+    t, files = 1_767_225_600_000, [f"f{i}" for i in range(6)]
+    moment = lambda: t + rnd.randint(-20 * 1440, 20 * 1440) * 60_000
+    branch = lambda: rnd.choice([None, "main", "feat"])
+    for k in range(cases):
+        commits = [co(f"{rnd.randint(0, 9)}{i:02d}", moment(), *rnd.sample(files, rnd.randint(0, 4)), branch=branch(), merge=rnd.random() < 0.2) for i in range(rnd.randint(0, 12))]
+        evs = [ev(f"{rnd.randint(0, 9)}{i:02d}", moment(), *(rnd.sample(files, rnd.randint(1, 4)) if rnd.random() < 0.4 else []), session=f"s{rnd.randint(1, 4)}", branch=branch()) for i in range(rnd.randint(0, 40))]
+        yield f"{k:03d}", (evs, commits)
+
+
+def test_parts_are_the_whole(spark, monkeypatch):
+    """A table that is made in parts has the rows of one made at once, and only the last table stays."""
+    cases, modes = dict(histories(20261127, 60)), []
+    write = tables.written
+
+    def spy(df, folder, name, mode="overwrite"):
+        modes.append((name, mode))
+        return write(df, folder, name, mode)
+
+    monkeypatch.setattr(attribution, "written", spy)
+    folder = tables.store(spark)
+    in_table = lambda events, commits, cfg: attribution.attribute_table(events, commits, cfg, folder, "out", lambda df: df)
+    for rows, parts in ((200, 7), (100, tables.MOST_PARTS), (10**6, 1)):
+        monkeypatch.setattr(tables, "PART_ROWS", rows)
+        n = sum(len(es) for es, _ in cases.values())
+        assert max(1, min(tables.MOST_PARTS, -(-n // rows))) == parts, n
+        modes.clear()
+        once = run(spark, cases)
+        assert run(spark, cases, attribute=in_table) == once
+        assert [m for name, m in modes if name == "out"] == ["overwrite", *["append"] * (parts - 1)]
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        assert [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)] == ["out"]
+    assert run(spark, {}, attribute=in_table) == {} and run(spark, {"no commits": ([ev("a", 1, "f"), ev("b", 2)], [])}, attribute=in_table)

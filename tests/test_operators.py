@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costledger.functions import money as M
-from costledger.operators import events, pricing, rollup
+from costledger.operators import events, pricing, rollup, tables
 from costledger.plans import ledger as ledgers
 from costledger.plans import queries as Q
 from tests.oracle import same
@@ -76,3 +76,42 @@ def test_ledger_is_built_again_for_other_tables(spark, tmp_path):
     shutil.rmtree(second.rows.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])
     third = ledgers.demo(spark, str(tmp_path))
     assert third is not second and third.rows.count() == third.raw.count()
+
+
+def shuffle_files(spark):
+    """Sizes of the shuffle files that lie on the disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_a_ledger_leaves_no_shuffle_files(spark, monkeypatch):
+    """What building a ledger shuffles is off the disk with each table, also where it is built in parts; the setting
+    is what it was."""
+    monkeypatch.setattr(ledgers, "_BUILT", {})
+    monkeypatch.setattr(tables, "PART_ROWS", 200)
+    spark.conf.set(tables.CLEANUP, "false")
+    before = shuffle_files(spark)
+    led = ledgers.demo(spark, SF)
+    assert spark.conf.get(tables.CLEANUP) == "false"
+    spark.conf.unset(tables.CLEANUP)
+    left = {n for n in shuffle_files(spark) if n not in before}
+    assert not left, left
+    assert led.rows.count() == led.raw.count() > 2 * tables.PART_ROWS
+
+
+def test_ledger_queries_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ledgers, "_BUILT", {})
+    monkeypatch.setattr(tables, "PART_ROWS", 200)
+    for name in ("attrib_full_14d", "reprice", "reprice_delta", "rollup_by_commit", "rollup_by_model", "rollup_by_session", "rollup_total", "unpriced_models", "cache_savings", "report_log", "top_model"):
+        same(Q.queries()[name](spark, SF), Q.oracle_sql()[name], SF)
+    monkeypatch.setattr(ledgers, "_BUILT", {})
+
+
+def test_prices_do_not_shuffle_events(spark):
+    """With the models known from a table, pricing is a join with that table and deals no event by its model."""
+    led = ledgers.demo(spark, SF)
+    known = tables.written(pricing.known_models(led.raw, led.cards), tables.store(spark), "models")
+    df = pricing.price(led.raw, led.cards, known)
+    assert "hashpartitioning(model" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {(r.id, r.price_id, r.cost_total) for r in pricing.price(led.raw, led.cards).collect()}
+    assert {(r.id, r.price_id, r.cost_total) for r in df.collect()} == want

@@ -1,4 +1,4 @@
-"""Rollups of the ledger.  Each is one partial and one final aggregate."""
+"""Rollups of the ledger.  Each is one partial and one final aggregate, in ``n`` parts one after another where asked."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import CLASSES, NANO
 from .events import total_tokens
+from .tables import in_parts
 
 COSTS = [f"cost_{c}" for c in (*CLASSES, "total")]
 
@@ -42,16 +43,40 @@ def rollup(ledger: DataFrame, *keys: str, models: bool = True) -> DataFrame:
     return ledger.groupBy(*keys).agg(*measures(models))
 
 
-def by_commit(ledger: DataFrame) -> DataFrame:
-    return rollup(ledger.where("kind = 'commit'"), "repo_id", "hash")
+def _united(parts: DataFrame, *keys: str) -> DataFrame:
+    """One rollup from those of parts that share no session."""
 
+    def of(name: str, kind: str) -> Column:
+        if name == "models":
+            return F.sort_array(F.array_distinct(F.flatten(F.collect_list(name))))
+        if name in ("min_ts_ms", "max_ts_ms"):
+            return F.min(name) if name == "min_ts_ms" else F.max(name)
+        return _money(F.col(name)) if kind == NANO else _long(F.col(name))
 
-def by_model(ledger: DataFrame) -> DataFrame:
-    return rollup(ledger, "repo_id", "model", models=False)
+    return parts.groupBy(*keys).agg(*[of(c, t).alias(c) for c, t in parts.dtypes if c not in keys])
 
 
-def by_session(ledger: DataFrame) -> DataFrame:
-    return rollup(ledger, "repo_id", "session_id")
+def _by_parts(ledger: DataFrame, n: int, *keys: str, models: bool = True) -> DataFrame:
+    """``rollup`` of few groups, in ``n`` parts of whole sessions."""
+    made = in_parts(ledger.sparkSession, lambda keep: rollup(ledger.where(keep("session_id")), *keys, models=models), n)
+    return made if n == 1 else _united(made, *keys)
+
+
+def total(ledger: DataFrame, n: int = 1) -> DataFrame:
+    return _by_parts(ledger, n)
+
+
+def by_commit(ledger: DataFrame, n: int = 1) -> DataFrame:
+    rows = ledger.where("kind = 'commit'")
+    return in_parts(ledger.sparkSession, lambda keep: rollup(rows.where(keep("repo_id", "hash")), "repo_id", "hash"), n)
+
+
+def by_model(ledger: DataFrame, n: int = 1) -> DataFrame:
+    return _by_parts(ledger, n, "repo_id", "model", models=False)
+
+
+def by_session(ledger: DataFrame, n: int = 1) -> DataFrame:
+    return in_parts(ledger.sparkSession, lambda keep: rollup(ledger.where(keep("repo_id", "session_id")), "repo_id", "session_id"), n)
 
 
 def bucket() -> Column:

@@ -10,6 +10,7 @@ from ..functions.money import CLASSES, NANO
 from ..operators import rollup
 from ..operators.events import in_window, total_tokens
 from ..operators.pricing import reprice as reprice_rows
+from ..operators.tables import Keep, in_parts
 from .ledger import Ledger
 
 GENERATOR = "costledger"
@@ -46,9 +47,15 @@ def log(led: Ledger, flags: Flags | None = None, hashes: DataFrame | None = None
     commits = commits.where(in_window(F.col("author_ts_ms"), flags.since, flags.until))
     if limit is not None:
         commits = commits.orderBy(F.col("author_ts_ms").desc(), "hash").limit(limit)
-    costed = _commit_rollup(scoped(led, flags), "repo_id", "hash").select("repo_id", "hash", "events", "cost_total", "confidence", "unpriced_tokens", "sessions", "models", *[f"{c}_tokens" for c in CLASSES])
-    out = commits.select("repo_id", "hash", "author_ts_ms", "subject").join(costed, ["repo_id", "hash"], "left")
-    return out.na.fill(0, ["events", "unpriced_tokens", "sessions"])
+    rows = scoped(led, flags)
+
+    def part(keep: Keep) -> DataFrame:
+        mine = keep("repo_id", "hash")
+        costed = _commit_rollup(rows.where(mine), "repo_id", "hash").select("repo_id", "hash", "events", "cost_total", "confidence", "unpriced_tokens", "sessions", "models", *[f"{c}_tokens" for c in CLASSES])
+        out = commits.where(mine).select("repo_id", "hash", "author_ts_ms", "subject").join(costed, ["repo_id", "hash"], "left")
+        return out.na.fill(0, ["events", "unpriced_tokens", "sessions"])
+
+    return in_parts(led.spark, part, led.parts if limit is None else 1)
 
 
 def evidence(led: Ledger, flags: Flags | None = None) -> DataFrame:

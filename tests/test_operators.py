@@ -1,4 +1,5 @@
 import random
+import re
 import shutil
 from decimal import Decimal
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from costledger.functions import money as M
-from costledger.operators import events, pricing, rollup, tables
+from costledger.operators import attribution, events, pricing, rollup, tables
 from costledger.plans import ledger as ledgers
 from costledger.plans import queries as Q
 from tests.oracle import same
@@ -115,3 +116,25 @@ def test_prices_do_not_shuffle_events(spark):
     assert "hashpartitioning(model" not in df._jdf.queryExecution().executedPlan().toString()
     want = {(r.id, r.price_id, r.cost_total) for r in pricing.price(led.raw, led.cards).collect()}
     assert {(r.id, r.price_id, r.cost_total) for r in df.collect()} == want
+
+
+def test_a_large_ledger_shuffles_parts(spark, monkeypatch):
+    """Events are not dealt by their repository while the ledger is written, the table has no costs (they follow from
+    the models), and reports of many rows come from a table that was made in parts."""
+    monkeypatch.setattr(ledgers, "_BUILT", {})
+    monkeypatch.setattr(tables, "PART_ROWS", 200)
+    plans, really = [], tables.written
+
+    def spied(df, folder, name, mode="overwrite"):
+        if name == "ledger":
+            plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return really(df, folder, name, mode)
+
+    monkeypatch.setattr(attribution, "written", spied)
+    ledgers.demo(spark, SF)
+    assert len(plans) > 1 and not any("cost_total" in columns or re.search(r"hashpartitioning\(repo_id#\d+L?, \d+\)", plan) for columns, plan in plans)
+    for name in ("rollup_by_commit", "rollup_by_session", "report_log"):
+        got = Q.queries()[name](spark, SF)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString(), name
+        same(got, Q.oracle_sql()[name], SF)
+    monkeypatch.setattr(ledgers, "_BUILT", {})

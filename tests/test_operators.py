@@ -141,7 +141,7 @@ def test_a_large_ledger_shuffles_parts(spark, monkeypatch):
 
 
 #: Rollups that group by no result of the attribution, and those of commits.
-EVENT_ROLLUPS = ["unpriced_models", "cache_savings", "top_model", "rollup_total"]
+EVENT_ROLLUPS = ["unpriced_models", "cache_savings", "top_model", "rollup_total", "rollup_by_model"]
 COMMIT_ROLLUPS = []
 
 
